@@ -176,3 +176,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return work.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id")).union(work.select(F.col("v"), F.col("v")).distinct())
+
+
+# ---------------------------------------------------------------- written tables
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the checkpoint folder: unlike a checkpoint it is compressed and read by column.
+
+    The folder lies inside this application's checkpoint folder and goes with it.
+    """
+    import uuid
+
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -155,7 +155,7 @@ def learn_stems(counts: dict[str, tuple[int, int]], positive: int, negative: int
     Of stems that begin each other, the most significant stays (the longest of equals).
     """
     base = positive / max(1, positive + negative)
-    least = max(10.0, math.log(max(2, len(counts))))
+    least = max(8.5, math.log(max(2, len(counts))))
     found = []
     for stem, (p, n) in counts.items():
         share = p / (p + n)
@@ -171,6 +171,27 @@ def learn_stems(counts: dict[str, tuple[int, int]], positive: int, negative: int
     return chosen
 
 
+def needed(stems: dict[str, float], docs: list[list[int]]) -> dict[str, float]:
+    """Of stems in order, those found in at least two positive documents that no stem before them explains.
+
+    Words that only keep company with an insult (as in copies of one document) go by this. `docs` has the
+    positions of the stems in each positive document, a list for each different one.
+    """
+    holders: dict[int, list[int]] = {}
+    for d, found in enumerate(docs):
+        for k in found:
+            holders.setdefault(k, []).append(d)
+    explained = [False] * len(docs)
+    kept = {}
+    for k, (stem, weight) in enumerate(stems.items()):
+        new = [d for d in holders.get(k, []) if not explained[d]]
+        if len(new) >= 2:
+            kept[stem] = weight
+            for d in new:
+                explained[d] = True
+    return kept
+
+
 class Lexicon:
     """Words to classes: whole words of the fixed lists, and stems that begin words."""
 
@@ -286,6 +307,15 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, limit: int = TRAINI
         return DEFAULT
     stems = learn_stems({r.stem: (r.p, r.n) for r in rows if r.stem}, *total)
 
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = {s: k for k, s in enumerate(stems)}
+        for batch in batches:
+            found = [sorted(order[s] for s in stems_in(t or "") if s in order) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["found"])
+
+    holds = train.where("y = 1").mapInArrow(locate, "found array<int>").distinct().collect()  # at most `limit` rows
+    stems = needed(stems, sorted(r.found for r in holds))
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(stems)
         for batch in batches:
