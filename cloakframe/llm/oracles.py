@@ -24,6 +24,34 @@ reach AS (
 )"""
 
 ORACLES = {
+    "op1_line_dedup": r"""
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+ln AS (SELECT doc_id, unnest(range(0, len(ls))) AS line_no, unnest(ls) AS line FROM parts),
+sets AS (
+  SELECT row_number() OVER (ORDER BY doc_id, line_no) AS id, doc_id, line_no,
+    list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) AS s
+  FROM ln
+),
+big AS (SELECT *, len(s) AS n FROM sets WHERE len(s) >= 5),
+tok AS (SELECT id, n, unnest(s) AS w FROM big),
+df AS (SELECT w, count(*) AS c FROM tok GROUP BY w),
+pos AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS p FROM tok JOIN df USING (w)),
+pre AS (SELECT id, n, w FROM pos WHERE p <= n - CAST(ceil(n * 4 / 5.0) AS BIGINT) + 1),
+cand AS (
+  SELECT DISTINCT x.id AS a, y.id AS b FROM pre x JOIN pre y ON x.w = y.w AND x.id < y.id
+  WHERE 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)
+),
+hit AS (
+  SELECT cand.b AS id FROM cand JOIN big x ON x.id = cand.a JOIN big y ON y.id = cand.b
+  WHERE 5 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+  GROUP BY cand.b
+),
+gone AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) AS nos FROM hit JOIN big USING (id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, coalesce(gone.n, 0) AS n_removed, coalesce(gone.nos, '') AS removed
+FROM parts LEFT JOIN gone USING (doc_id)
+""",
     "op2_rotated_codes": f"""
 WITH {_GOOD_VECTORS},
 near AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import chat, lattice, minhash, packing, piece_codec, quality, rotated_codes, substrings, toxicity
+from cloakframe.llm import chat, lattice, lines, minhash, packing, piece_codec, quality, rotated_codes, substrings, toxicity
 from cloakframe.llm.labelled import remainder
 from cloakframe.llm.oracles import ORACLES
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
 def op2_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return rotated_codes.search(rows, rows.where("vec_id % 100 = 0"), 10)
@@ -62,7 +66,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_rotated_codes, op3_sentencepiece, op4_quality, op5_lattice_dedup, op6_toxicity, op7_minhash_dedup, op8_chat_format, op9_substring_dedup, op10_best_fit_packing)
+QUERIES = (op1_line_dedup, op2_rotated_codes, op3_sentencepiece, op4_quality, op5_lattice_dedup, op6_toxicity, op7_minhash_dedup, op8_chat_format, op9_substring_dedup, op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
