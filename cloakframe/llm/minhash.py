@@ -1,18 +1,19 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Each document's five-word shingles give PERMUTATIONS minima. Bands of whole minima make
-the candidates; the low BITS bits of all minima, packed into longs, estimate a
-candidate pair's similarity by bit counts, corrected for chance collisions; what may
-reach the threshold is confirmed on the full shingle sets.
+Each document's five-word shingles give minima. Bands of whole minima make the candidates;
+for documents that share a band, the low bits of KEPT minima, packed into longs, estimate a
+pair's similarity by bit counts, corrected for chance collisions; what may reach the
+threshold is confirmed on the full shingle sets.
 
 Documents with equal shingle sets are one class from the start, so copies cost one row.
-Within a band bucket pairs are not all emitted: first every member is tried against the
-bucket's smallest document (a star). Then, only in buckets that still hold several
-components, documents of different components are tried against each other. A link
-inside one component can't change the result, so no link between components is lost.
+Within a band bucket pairs are not all emitted: first each member is paired with a few
+random others, and for each document the likeliest pairs are confirmed, twice over. Then,
+only in buckets that still hold several components, documents outside the largest one are
+tried with all of other components. A link inside one component can't change the
+result, so no link between components is lost.
 
 The chance that a pair at the threshold meets in no band is (1 - 0.75**5)**40, 2 in
-100,000. The estimate's margin is more than five standard deviations.
+100,000. The estimate's margin is four standard deviations.
 
 Defined results: a document without words, or with null text, has no shingles and links
 with nothing; one with fewer than five words has its whole sequence as its one shingle;
@@ -26,24 +27,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.common import Multipliers, Words, connected_components, cut, mix, rolling, signed, stream, text_chunks
+from cloakframe.llm.common import Multipliers, Words, connected_components, cut, mix, rolling, signed, stream, text_chunks, written
 
 WIDTH = 5
 BANDS, ROWS = 40, 5
 PERMUTATIONS = BANDS * ROWS
-BITS = 2
-LONGS = PERMUTATIONS * BITS // 64 + (PERMUTATIONS * BITS % 64 > 0)
+#: Minima of which BITS low bits are kept, for documents that share a band.
+KEPT, BITS = 1536, 1
+LONGS = KEPT * BITS // 64
 #: In hundredths: pairs with 100 * intersection >= THRESHOLD * union are linked.
 THRESHOLD = 75
-#: Pairs estimated below THRESHOLD by more than this are not confirmed.
-MARGIN = 0.2
+#: Pairs estimated below THRESHOLD by more than this are not confirmed: four standard deviations.
+MARGIN = 0.07
+#: In a bucket each document is first tried with so many others, in parts of so many members; so often.
+BESIDE, PART, ROUNDS = 2, 1024, 2
+#: Sets that a task compares come in blocks of about so many documents.
+BLOCK = 128
 
 _BY = Multipliers(5)
-_A = (stream(21, PERMUTATIONS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_B = (stream(22, PERMUTATIONS) >> np.uint64(32)).astype(np.uint32)
+_A = (stream(21, KEPT) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_B = (stream(22, KEPT) >> np.uint64(32)).astype(np.uint32)
 _BAND = stream(23, PERMUTATIONS).reshape(BANDS, ROWS) | np.uint64(1)
 
 
@@ -66,30 +72,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(parts) if parts else np.empty(0, np.uint64), np.concatenate([[0], np.cumsum(counts)])
 
 
-def signatures(shingles: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed low bits, band keys) of non-empty sets."""
-    x = (shingles >> np.uint64(32)).astype(np.uint32)
-    minima = np.empty((len(offsets) - 1, PERMUTATIONS), np.uint32)
-    for lo in range(0, len(minima), 64):  # a few thousand shingles at a time stay in cache
+def minima(shingles: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
+    """The first n minima of each of the non-empty sets."""
+    x = (mix(shingles) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(offsets) - 1, n), np.uint32)
+    for lo in range(0, len(out), 64):  # a few thousand shingles at a time stay in cache
         rows = offsets[lo : lo + 65]
         part = x[rows[0] : rows[-1]]
-        for k in range(PERMUTATIONS):
-            minima[lo : lo + 64, k] = np.minimum.reduceat(part * _A[k] + _B[k], rows[:-1] - rows[0])
-    bits = ((minima[:, :, None] >> np.arange(BITS, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(minima), -1)
-    packed = np.packbits(np.pad(bits, ((0, 0), (0, LONGS * 64 - bits.shape[1]))), axis=1, bitorder="little").view("<i8")
-    bands = mix((minima.reshape(-1, BANDS, ROWS).astype(np.uint64) * _BAND).sum(2, dtype=np.uint64) + _BAND[:, 0])
-    return packed, bands
+        for k in range(n):
+            out[lo : lo + 64, k] = np.minimum.reduceat(part * _A[k] + _B[k], rows[:-1] - rows[0])
+    return out
+
+
+def band_keys(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    least = minima(shingles, offsets, PERMUTATIONS).reshape(-1, BANDS, ROWS).astype(np.uint64)
+    return mix((least * _BAND).sum(2, dtype=np.uint64) + _BAND[:, 0])
+
+
+def packed(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The low bits of KEPT minima, packed into longs."""
+    bits = (minima(shingles, offsets, KEPT) & 1).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
 def estimate(a: Column, b: Column) -> Column:
-    """Similarity from two packed signatures: equal low bits, less those equal by chance."""
-    pairs = F.lit(0x5555555555555555)
+    """Similarity from two packed signatures: the share of equal bits, less those equal by chance."""
     differ = F.lit(0)
     for i in range(LONGS):
-        x = a[i].bitwiseXOR(b[i])
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(pairs))
+        differ = differ + F.bit_count(a[i].bitwiseXOR(b[i]))
     chance = 2.0**-BITS
-    return ((1 - differ / PERMUTATIONS) - chance) / (1 - chance)
+    return ((1 - differ / KEPT) - chance) / (1 - chance)
 
 
 def _list(values: np.ndarray, width: int) -> pa.ListArray:
@@ -97,8 +109,8 @@ def _list(values: np.ndarray, width: int) -> pa.ListArray:
 
 
 def sign(df: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sig, bands): k1 and k2 identify the shingle set; null for an empty set."""
-    names = ["doc_id", "n_shingles", "k1", "k2", "sig", "bands"]
+    """(doc_id, n_shingles, k1, k2, bands): k1 and k2 identify the shingle set; null for an empty set."""
+    names = ["doc_id", "n_shingles", "k1", "k2", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,48 +118,77 @@ def sign(df: DataFrame) -> DataFrame:
                 shingles, at = shingle_sets(data, offsets)
                 count = np.diff(at)
                 full = np.flatnonzero(count)
-                k1, k2, sig, bands = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64), np.zeros((hi - lo, LONGS), np.int64), np.zeros((hi - lo, BANDS), np.uint64)
+                k1, k2, bands = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64), np.zeros((hi - lo, BANDS), np.uint64)
                 if len(full):
                     starts = np.append(at[full], at[-1])
                     k1[full] = np.add.reduceat(mix(shingles), starts[:-1])
                     k2[full] = np.add.reduceat(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)), starts[:-1])
-                    sig[full], bands[full] = signatures(shingles, starts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array(count),
-                        pa.array(signed(k1), mask=count == 0),
-                        pa.array(signed(k2), mask=count == 0),
-                        _list(sig, LONGS),
-                        _list(bands, BANDS),
-                    ],
-                    names=names,
-                )
+                    bands[full] = band_keys(shingles, starts)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count), pa.array(signed(k1), mask=count == 0), pa.array(signed(k2), mask=count == 0), _list(bands, BANDS)], names=names)
 
-    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sig array<long>, bands array<long>")
+    return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
-def _sets(df: DataFrame) -> DataFrame:
-    """(id, shingles)."""
+def sets(df: DataFrame) -> DataFrame:
+    """(id, shingles, sig) of non-empty documents: the full set as packed hashes, and the b-bit signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 shingles, at = shingle_sets(data, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(signed(shingles)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["id", "shingles"])
+                full = np.flatnonzero(np.diff(at))
+                starts = np.append(at[full], at[-1])
+                packs = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(shingles.tobytes())])
+                sig = packed(shingles, starts) if len(full) else np.empty((0, LONGS), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(full)), packs, _list(sig, LONGS)], names=["id", "shingles", "sig"])
+
+    return df.mapInArrow(run, "id long, shingles binary, sig array<long>")
+
+
+def confirm(pairs: DataFrame, full: DataFrame, group: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Those of the pairs (a, b) whose full shingle sets (`full`: id, shingles) reach the threshold.
+
+    A set isn't sent once for each of its pairs: the documents of a group (id, component_id)
+    are cut into blocks of about BLOCK, and a task has the sets of two blocks together with
+    the pairs between them. Any grouping gives the same result.
+    """
+    sizes = group.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    placed = group.join(sizes, "component_id").select("id", F.col("component_id").alias("g"), F.pmod(F.xxhash64("id", F.lit(9)), "blocks").cast("int").alias("block"))
+    placed = cut(ids.join(placed, "id", "left").select("id", F.coalesce("g", "id").alias("g"), F.coalesce("block", F.lit(0)).alias("block")))
+    place = F.struct("g", "block")
+    wanted = pairs.join(placed.select(F.col("id").alias("a"), place.alias("pa")), "a").join(placed.select(F.col("id").alias("b"), place.alias("pb")), "b")
+    wanted = cut(wanted.select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"), "a", "b"))
+    met = wanted.select("x", "y").distinct()
+    met = met.select("*", F.col("x").alias("p")).union(met.where("x <> y").select("*", F.col("y").alias("p")))
+    sent = full.select("id", "shingles").join(placed.select("id", place.alias("p")), "id").join(met, "p")
+    sent = sent.select("x.g", "x.block", F.col("y.g").alias("h"), F.col("y.block").alias("other"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    asked = wanted.select("x.g", "x.block", F.col("y.g").alias("h"), F.col("y.block").alias("other"), "a", "b", F.lit(None).cast("binary").alias("shingles"))
+    # Within a pair of blocks the sets come first.
+    rows = sent.union(asked).repartition("g", "block", "h", "other").sortWithinPartitions("g", "block", "h", "other", F.col("b").asc_nulls_first())
 
-    return df.mapInArrow(run, "id long, shingles array<long>")
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets reach the threshold. `docs` has one row for each id."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = cut(_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")))
-    first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(first, "a").join(second, "b").where(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            found = ([], [])
+            raw = batch.column(6)
+            for i, (*key, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                if key != now:
+                    now, held = key, {}
+                if b is None:
+                    held[a] = np.frombuffer(raw[i].as_py(), np.uint64)
+                    continue
+                s, t = held[a], held[b]
+                if len(s) > len(t):
+                    s, t = t, s
+                at = np.searchsorted(t, s)
+                common = int((t[np.minimum(at, len(t) - 1)] == s).sum())
+                if 100 * common >= threshold * (len(s) + len(t) - common):
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -156,7 +197,7 @@ def components(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     signed_docs = cut(sign(docs))
     known = signed_docs.where("n_shingles > 0 and doc_id is not null")
     classes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    reps = cut(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sig", "bands"))
+    reps = cut(known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "bands"))
     found = connected_components(link(reps, docs.where("doc_id is not null"), threshold))
     out = signed_docs.join(classes, ["k1", "k2"], "left")
     out = out.join(found.select(F.col("id").alias("rep"), F.col("component_id").alias("_component")), "rep", "left")
@@ -174,29 +215,57 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def link(reps: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Confirmed pairs (a, b) that join all components that the bands can join; reps has id, sig, bands."""
+    """Confirmed pairs (a, b) that join all components that the bands can join; reps has id, bands."""
     least = threshold / 100 - MARGIN
-    members = reps.select("id", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = cut(members.join(buckets.select("band", F.col("a").alias("centre")), "band"))
-    sigs = reps.select("id", "sig")
-    star = members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    star = cut(star.where(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"))
-    linked = cut(confirm(star, docs, threshold))
-    # Buckets whose members are still in several components: members of different ones are tried.
+    members = reps.select("id", F.posexplode("bands").alias("t", "band"))
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(members.join(buckets, "band"))
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    full = written(sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")))
+    sigs = full.select("id", "sig")
+    # Neighbours in a random order of the bucket, in parts of about PART members.
+    part = F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / PART))
+    order = Window.partitionBy("band", "part").orderBy("mix", "id")
+    shuffled = members.withColumn("part", part).withColumn("mix", F.xxhash64("band", "id", F.lit(1)))
+    beside = shuffled.select("id", F.array(*(F.lag("id", k).over(order) for k in range(1, BESIDE + 1))).alias("others"))
+    beside = beside.select("id", F.explode("others").alias("other")).where("other is not null")
+    near = beside.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    near = near.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    near = cut(near.select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("e")).where(F.col("e") >= least))
+    linked, tried, group = None, None, None
+    for _ in range(ROUNDS):
+        # For each document the likeliest of its pairs that would still join components.
+        open_pairs = near if linked is None else _between(near, connected_components(linked))
+        own = open_pairs.select(F.col("a").alias("id"), "*").union(open_pairs.select(F.col("b").alias("id"), "*"))
+        best = own.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("e"), "a", "b"))).where("k <= 2")
+        chosen = best.select("a", "b").distinct()
+        chosen = cut(chosen if tried is None else chosen.join(tried, ["a", "b"], "left_anti"))
+        tried = chosen if tried is None else tried.union(chosen)
+        group = connected_components(chosen) if group is None else group
+        found = cut(confirm(chosen, full, group, threshold))
+        linked = found if linked is None else linked.union(found)
+    # Buckets whose members are still in several components: those outside the bucket's largest one are tried with
+    # all members of other components, each pair in the first band that it shares.
     component = connected_components(linked)
-    placed = members.join(component, "id", "left").select("band", "id", "centre", F.coalesce("component_id", "id").alias("c"))
-    several = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    placed = cut(placed.join(several, "band", "left_semi"))
-    groups = placed.select("band", "c").distinct()
-    across = groups.alias("x").join(groups.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.c") < F.col("y.c"))).select("x.band", F.col("x.c").alias("c"), F.col("y.c").alias("d"))
-    left = across.join(placed.select("band", "c", F.col("id").alias("a"), "centre"), ["band", "c"])
-    pairs = left.join(placed.select("band", F.col("c").alias("d"), F.col("id").alias("b")), ["band", "d"])
-    pairs = pairs.where("a <> centre and b <> centre").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = cut(pairs.where(estimate(F.col("sa"), F.col("sb")) >= least).select("a", "b"))
-    return linked.union(confirm(pairs, docs, threshold))
+    placed = members.join(component, "id", "left").select("band", "t", "id", F.coalesce("component_id", "id").alias("c"))
+    counts = placed.groupBy("band", "c").agg(F.count("*").alias("m"))
+    main = counts.groupBy("band").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
+    placed = placed.join(main, "band").join(sigs, "id").join(reps.select("id", "bands"), "id")
+    placed = written(placed.select("band", "t", "id", "c", "main", "sig", "bands"))
+    x, y = placed.alias("x"), placed.where("c <> main").alias("y")
+    once = (F.col("x.c") == F.col("x.main")) | (F.col("x.id") < F.col("y.id"))
+    first = F.size(F.array_intersect(F.slice("x.bands", F.lit(1), F.col("x.t")), F.slice("y.bands", F.lit(1), F.col("y.t")))) == 0
+    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & once & (estimate(F.col("x.sig"), F.col("y.sig")) >= least) & first
+    pairs = x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+    return linked.union(confirm(pairs, full, group, threshold))
+
+
+def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """Pairs whose two sides are in different components."""
+    of = lambda side: component.select(F.col("id").alias(side), F.col("component_id").alias(f"c{side}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "e")
 
 
 def keep_one(df: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

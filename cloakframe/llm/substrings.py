@@ -13,7 +13,8 @@ more windows on; results don't change.
 
 Second pass: only runs estimated repeated are grouped. Equal runs are grouped whole
 (partial aggregation first, so a passage in a third of all documents is one row for each
-partition); where an anchor has several different runs, their windows are grouped exactly.
+partition). Where an anchor has several different runs, their windows are counted in a sketch
+of their own, and those estimated repeated are grouped exactly.
 
 Defined results: null or shorter texts have no window and lose nothing; rows with the
 same doc_id never remove each other's words; rows with null doc_id are kept whole and remove
@@ -24,7 +25,7 @@ whatever their names, pass through.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.llm.common import Multipliers, Words, cut, rolling, signed, span_hashes, text_chunks
+from cloakframe.llm.common import Multipliers, Words, rolling, signed, span_hashes, text_chunks, written
 
 WINDOW, GRAM = 50, 8
 ROWS, CELLS = 2, 1 << 24
@@ -86,16 +87,15 @@ def _cells(anchor: np.ndarray, row: int) -> np.ndarray:
     return ((anchor >> np.uint64(24 * row + 7)) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def sketch(df: DataFrame, window: int) -> list[np.ndarray]:
-    """For each row of the merged sketch, a bit for each cell: counted twice or more."""
+def sketch(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> list[np.ndarray]:
+    """For each row of the merged sketch of the hashes in `df`'s batches, a bit for each cell: counted twice or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((ROWS, CELLS), np.uint8)
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                anchor = Runs(data, offsets, window).anchor
+            for some in hashes(batch):
                 for row in range(ROWS):
-                    cell, times = np.unique(_cells(anchor, row), return_counts=True)
+                    cell, times = np.unique(_cells(some, row), return_counts=True)
                     counts[row, cell] = np.minimum(2, counts[row, cell] + np.minimum(times, 2))
         slices = counts.reshape(-1, SLICE)
         full = np.flatnonzero(slices.any(1))
@@ -112,7 +112,7 @@ def sketch(df: DataFrame, window: int) -> list[np.ndarray]:
         for k, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary())], names=["slice", "bits"])
 
-    partial = df.select("text").mapInArrow(count, "slice int, counts binary")
+    partial = df.mapInArrow(count, "slice int, counts binary")
     # Together ROWS * CELLS / 8 bytes at most, whatever the input.
     merged = partial.repartition("slice").mapInArrow(merge, "slice int, bits binary").collect()
     bits = np.zeros((ROWS * CELLS // SLICE, SLICE // 8), np.uint8)
@@ -121,19 +121,29 @@ def sketch(df: DataFrame, window: int) -> list[np.ndarray]:
     return list(bits.reshape(ROWS, -1))
 
 
+def twice(bits: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    """Which hashes are estimated to occur twice or more."""
+    out = np.ones(len(hashes), bool)
+    for row, some in enumerate(bits):
+        cell = _cells(hashes, row)
+        out &= (some[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
+    return out
+
+
 def repeated_runs(df: DataFrame, window: int) -> DataFrame:
     """(doc_id, key, start, n, r1, r2, anchor, windows) of runs whose anchor is estimated repeated; key tells rows of one doc_id apart."""
-    bits = df.sparkSession.sparkContext.broadcast(sketch(df, window))
+
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, _, data, offsets in text_chunks(batch.column(0)):
+            yield Runs(data, offsets, window).anchor
+
+    bits = df.sparkSession.sparkContext.broadcast(sketch(df.select("text"), anchors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, _, data, offsets in text_chunks(batch.column(2)):
                 runs = Runs(data, offsets, window)
-                twice = np.ones(len(runs.anchor), bool)
-                for row, some in enumerate(bits.value):
-                    cell = _cells(runs.anchor, row)
-                    twice &= (some[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 > 0
-                found = runs.rows(np.flatnonzero(twice))
+                found = runs.rows(np.flatnonzero(twice(bits.value, runs.anchor)))
                 at = pa.array(found["doc"] + lo)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(found["n"])]).astype(np.int32)), pa.array(signed(found["windows"])))
                 yield pa.RecordBatch.from_arrays(
@@ -144,20 +154,44 @@ def repeated_runs(df: DataFrame, window: int) -> DataFrame:
     return df.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, "doc_id long, key long, start int, n int, r1 long, r2 long, anchor long, windows array<long>")
 
 
+def repeated_windows(runs: DataFrame) -> DataFrame:
+    """(doc_id, key, start, anchor, h): the windows of the runs that a second sketch, of windows, estimates repeated."""
+
+    def windows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.array(batch.column(0).flatten()).view(np.uint64)
+
+    bits = runs.sparkSession.sparkContext.broadcast(sketch(runs.select("windows"), windows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(4)
+            size = np.array(column.value_lengths())
+            h = np.array(column.flatten())
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            keep = np.flatnonzero(twice(bits.value, h.view(np.uint64)))
+            at = pa.array(row[keep])
+            start = batch.column(2).to_numpy()[row[keep]] + place[keep]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), batch.column(3).take(at), pa.array(h[keep])], names=["doc_id", "key", "start", "anchor", "h"])
+
+    return runs.select("doc_id", "key", "start", "anchor", "windows").mapInArrow(run, "doc_id long, key long, start int, anchor long, h long")
+
+
 def covered(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, start, n): n windows from word `start` on that a document with a smaller doc_id has too."""
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    runs = cut(repeated_runs(df, window))
-    classes = cut(runs.groupBy("r1", "r2", "n").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first("anchor").alias("anchor")))
+    runs = written(repeated_runs(df, window))
+    classes = written(runs.groupBy("r1", "r2", "n").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first("anchor").alias("anchor")))
     # Equal runs: later documents lose the whole run.
     again = classes.where("first_doc < last_doc").select("r1", "r2", "n", "first_doc")
     whole = runs.select("doc_id", "key", "start", "n", "r1", "r2").join(again, ["r1", "r2", "n"]).where("doc_id > first_doc").select("doc_id", "key", "start", "n")
     # Different runs with one anchor: the windows of each run's first document, against those of the others.
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
     firsts = classes.join(mixed, "anchor", "left_semi").select("r1", "r2", "n", F.col("first_doc").alias("doc_id"))
-    single = cut(runs.join(firsts, ["r1", "r2", "n", "doc_id"], "left_semi").select("doc_id", "key", "start", "anchor", F.posexplode("windows").alias("k", "h")))
+    several = written(runs.join(firsts, ["r1", "r2", "n", "doc_id"], "left_semi").select("doc_id", "key", "start", "anchor", "windows"))
+    single = written(repeated_windows(several))
     least = single.groupBy("h", "anchor").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h", "anchor", "first_doc")
-    parts = single.join(least, ["h", "anchor"]).where("doc_id > first_doc").select("doc_id", "key", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"))
+    parts = single.join(least, ["h", "anchor"]).where("doc_id > first_doc").select("doc_id", "key", "start", F.lit(1).alias("n"))
     return whole.union(parts)
 
 
