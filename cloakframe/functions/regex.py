@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakframe.schema import SPAN, empty
+from cloakframe.schema import SPAN, empty, let
+
 
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
@@ -16,6 +17,7 @@ _SETS = {"w": WORD, "d": DIGIT, "s": SPACE}
 BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 NO_BOUNDARY = f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
 
+
 #: Private-use marks put around matches, and what stands for them when a text holds them itself.
 OPEN, CLOSE, STAND_IN = "\ue000", "\ue001", "\ue002"
 
@@ -123,7 +125,6 @@ def find_all(text: Column, pattern: Column | str, must_hold: str = "") -> Column
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     marked_already = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
     safe = F.when(marked_already, F.translate(text, OPEN + CLOSE, STAND_IN * 2)).otherwise(text)
-    pieces = F.split(F.regexp_replace(safe, p, F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
 
     def add(acc: Column, piece: Column) -> Column:
         end = acc["pos"] + F.length(F.substring_index(piece, CLOSE, 1))
@@ -132,8 +133,11 @@ def find_all(text: Column, pattern: Column | str, must_hold: str = "") -> Column
             F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), end.alias("end")))).alias("out"),
         )
 
-    start = F.struct(F.length(pieces[0]).alias("pos"), empty("array<struct<start:int,end:int>>").alias("out"))
-    spans = F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), start, add, lambda acc: acc["out"])
+    def fold(pieces: Column) -> Column:
+        start = F.struct(F.length(pieces[0]).alias("pos"), empty("array<struct<start:int,end:int>>").alias("out"))
+        return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), start, add, lambda acc: acc["out"])
+
+    spans = let(F.split(F.regexp_replace(safe, p, F.lit(f"{OPEN}$0{CLOSE}")), OPEN), fold)
     found = F.transform(spans, lambda s: F.struct(F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), s["start"].alias("start"), s["end"].alias("end")))
     some = F.coalesce(F.regexp_like(text, p), F.lit(False))
     if must_hold:

@@ -7,15 +7,15 @@ user callables run in Arrow batches, once for each distinct text if asked (`dete
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterable, Sequence
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions import regex
-from cloakframe.schema import DETECTIONS, detection, empty
+from cloakframe.schema import DETECTIONS, detection, empty, let
 
 
 class Detector:
@@ -30,6 +30,10 @@ class Detector:
         return df.withColumn(out, self.column(F.col(text)))
 
 
+def _checked(valid: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda m: valid(m["text"])
+
+
 def _labelled(matches: Column, label: str) -> Column:
     return F.transform(matches, lambda m: detection(m["text"], F.lit(label), m["start"], m["end"], F.lit(1.0)))
 
@@ -49,7 +53,7 @@ class PatternDetector(Detector):
         for label, (pattern, hint) in self.patterns.items():
             found = regex.find_all(text, pattern, hint)
             if (valid := self.validators.get(label)) is not None:
-                found = F.filter(found, lambda m, valid=valid: valid(m["text"]))
+                found = F.filter(found, _checked(valid))
             parts.append(_labelled(found, label))
         return F.concat(*parts) if parts else empty(DETECTIONS)
 
@@ -90,8 +94,10 @@ def chunk_starts(length: Column, size: int, overlap: int) -> Column:
 
 def deduplicated(detections: Column) -> Column:
     """One detection for each span and label, the most confident (the first of equals); by start, otherwise in order."""
-    numbered = F.transform(detections, lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+    return let(F.transform(detections, lambda d, i: F.struct(d.alias("d"), i.alias("i"))), _deduplicated)
+
 
+def _deduplicated(numbered: Column) -> Column:
     def better(a: Column, b: Column) -> Column:
         same = (a["d"]["start"] == b["d"]["start"]) & (a["d"]["end"] == b["d"]["end"]) & (a["d"]["label"] == b["d"]["label"])
         return same & ((a["d"]["confidence"] > b["d"]["confidence"]) | ((a["d"]["confidence"] == b["d"]["confidence"]) & (a["i"] < b["i"])))
@@ -119,7 +125,7 @@ class ChunkedDetector(Detector):
         whole = self.detector.column(text)
 
         def one(start: Column) -> Column:
-            found = self.detector.column(F.substring(text, start + 1, F.lit(self.size)))
+            found = let(F.substring(text, start + 1, F.lit(self.size)), self.detector.column)
             return F.transform(found, lambda d: detection(F.substring(text, d["start"] + start + 1, d["end"] - d["start"]), d["label"], d["start"] + start, d["end"] + start, d["confidence"]))
 
         many = deduplicated(F.flatten(F.transform(chunk_starts(F.length(text), self.size, self.overlap), one)))
@@ -181,16 +187,22 @@ class CallableDetector(Detector):
         return None if label is None else {"text": text, "label": label, "start": int(start), "end": int(end), "confidence": float(confidence)}
 
     def column(self, text: Column) -> Column:
-        load, detect = cache(self.load), self.detect
+        key, load, detect = uuid.uuid4().hex, self.load, self.detect
 
         @F.pandas_udf("string")
         def run(texts: pd.Series) -> pd.Series:
-            function = load()
+            if key not in _LOADED:
+                _LOADED[key] = load()
+            function = _LOADED[key]
             return texts.map(lambda t: json.dumps(detect(t, function)))
 
         return F.coalesce(F.from_json(run(text), DETECTIONS), empty(DETECTIONS))
 
 
+#: In a worker: what `load` made, by column.
+_LOADED: dict[str, Callable] = {}
+
+
 def rows_of_spacy(doc) -> list[tuple]:
     return [(e.text, e.label_, e.start_char, e.end_char, 1.0) for e in doc.ents]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import regex
 from cloakframe.functions.similarity import jaro_winkler
-from cloakframe.schema import DETECTION, ENTITIES, detection, empty, overlaps
+from cloakframe.schema import ENTITIES, detection, empty, let, overlaps
 
 EXPANSIONS = ("skip", "reference")
 
@@ -30,10 +30,15 @@ def expand(text: Column, detections: Column, min_length: int = 1, overlap: str =
         found = F.filter(regex.find_all(text, regex.bounded(seed["text"], ignore_case)), lambda m: ~taken(acc, m))
         return F.concat(acc, F.transform(found, lambda m: detection(m["text"], seed["label"], m["start"], m["end"], F.lit(1.0))))
 
-    # A text that was a seed already finds nothing new.
-    seeds = F.filter(detections, lambda d: F.length(d["text"]) >= min_length)
-    fresh = F.filter(seeds, lambda d, i: ~F.exists(F.slice(seeds, F.lit(1), i), lambda o: o["text"] == d["text"]))
-    return F.when(F.size(detections) == 0, detections).otherwise(F.aggregate(fresh, detections, add))
+    def fresh(seeds: Column) -> Column:
+        """A text that was a seed already finds nothing new."""
+        return F.filter(seeds, lambda d, i: ~F.exists(F.slice(seeds, F.lit(1), i), lambda o: o["text"] == d["text"]))
+
+    def all_of(found: Column) -> Column:
+        seeds = let(F.filter(found, lambda d: F.length(d["text"]) >= min_length), fresh)
+        return F.when(F.size(found) == 0, found).otherwise(F.aggregate(seeds, found, add))
+
+    return let(detections, all_of)
 
 
 def _by_first(entities: Column) -> Column:
@@ -44,6 +49,10 @@ def _by_first(entities: Column) -> Column:
 
 def group(detections: Column) -> Column:
     """An entity for each lower-case text and label, in order of the first mention."""
+    return let(detections, _group)
+
+
+def _group(detections: Column) -> Column:
     keys = F.array_distinct(F.transform(detections, lambda d: F.struct(F.lower(d["text"]).alias("canonical"), d["label"].alias("label"))))
     entities = F.transform(
         keys,
@@ -73,7 +82,7 @@ def link_known(entities: Column, known: Column) -> Column:
         earlier = F.flatten(F.transform(same, lambda k: k["detections"]))
         return F.struct(e["label"].alias("label"), e["canonical"].alias("canonical"), F.concat(earlier, e["detections"]).alias("detections"))
 
-    return F.when((F.size(entities) == 0) | (F.size(known) == 0), entities).otherwise(_by_first(F.transform(entities, join)))
+    return let(entities, lambda own: F.when((F.size(own) == 0) | (F.size(known) == 0), own).otherwise(_by_first(F.transform(own, join))))
 
 
 # ---------------------------------------------------------------- conflicts between entities
@@ -83,16 +92,19 @@ def _absorb(entities: Column, alike: Callable[[Column, Column], Column], grows:
     """Fold: an entity joins the first earlier one that is alike, and (if sets grow) all others that are."""
 
     def add(acc: Column, e: Column) -> Column:
-        hits = F.filter(F.transform(acc, lambda a, i: F.when(alike(a, e), i)), lambda i: i.isNotNull())
+        return let(F.filter(F.transform(acc, lambda a, i: F.when(alike(a, e), i)), lambda i: i.isNotNull()), lambda hits: put(acc, e, hits))
+
+    def put(acc: Column, e: Column, hits: Column) -> Column:
         first = hits[0]
         parts = F.transform(hits, lambda i: acc[i]["detections"]) if grows else F.array(acc[first]["detections"])
         joined = F.struct(acc[first]["label"].alias("label"), acc[first]["canonical"].alias("canonical"), F.array_distinct(F.concat(F.flatten(parts), e["detections"])).alias("detections"))
-        merged = F.transform(acc, lambda a, i: F.when(i == first, joined).otherwise(a))
+        merged = let(joined, lambda one: F.transform(acc, lambda a, i: F.when(i == first, one).otherwise(a)))
         if grows:
             merged = F.transform(F.filter(F.transform(merged, lambda a, i: F.struct(a.alias("a"), i.alias("i"))), lambda x: (x["i"] == first) | ~F.array_contains(hits, x["i"])), lambda x: x["a"])
         return F.when(F.size(hits) == 0, F.concat(acc, F.array(e))).otherwise(merged)
 
-    return F.when(F.size(entities) == 0, entities).otherwise(_by_first(F.aggregate(entities, empty(ENTITIES), add)))
+    # One entity, the usual case, has nothing to be compared with.
+    return let(entities, lambda own: F.when(F.size(own) <= 1, own).otherwise(_by_first(F.aggregate(own, empty(ENTITIES), add))))
 
 
 def merge_shared(entities: Column) -> Column:
@@ -108,5 +120,3 @@ def merge_similar(entities: Column, similarity: Callable[[Column, Column], Colum
 def unmerged(entities: Column) -> Column:
     return entities
 
-
-__all__ = ["DETECTION", "expand", "group", "link", "link_known", "merge_shared", "merge_similar", "unlinked", "unmerged"]

@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cloakframe.schema import let
+
 # ---------------------------------------------------------------- what a token preserves
 
 
@@ -70,7 +72,7 @@ class Factory:
 
     def tokens(self, entities: Column) -> Column:
         """array<string>, in the order of the entities."""
-        return F.transform(entities, lambda e, i: self.token(e, i, entities))
+        return let(entities, lambda own: F.transform(own, lambda e, i: self.token(e, i, own)))
 
     def token(self, entity: Column, index: Column, entities: Column) -> Column:
         raise NotImplementedError

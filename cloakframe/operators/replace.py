@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cloakframe.functions import regex
-from cloakframe.schema import empty
+from cloakframe.schema import empty, let
 
 SPANS = "array<struct<start:int,end:int,token:string>>"
 
@@ -52,19 +52,26 @@ def replace_all(text: Column, mapping: Column, word_boundary: bool = False) -> C
     The first of equal sources counts; empty ones don't. Sources are found inside words too,
     unless `word_boundary`.
     """
+    return let(mapping, lambda known: _replace_known(text, known, word_boundary))
+
+
+def _replace_known(text: Column, mapping: Column, word_boundary: bool) -> Column:
     usable = F.filter(mapping, lambda m, i: (m["source"] != "") & ~F.exists(F.slice(mapping, F.lit(1), i), lambda o: o["source"] == m["source"]))
-    ordered = F.array_sort(F.transform(usable, lambda m, i: F.struct((-F.length(m["source"])).alias("n"), i.alias("i"), m["source"].alias("source"), m["token"].alias("token"))))
+    ranked = F.array_sort(F.transform(usable, lambda m, i: F.struct((-F.length(m["source"])).alias("n"), i.alias("i"), m["source"].alias("source"), m["token"].alias("token"))))
+    return let(ranked, lambda ordered: F.when(F.coalesce(F.size(ordered), F.lit(0)) <= 0, text).otherwise(_replaced(text, ordered, word_boundary)))
+
+
+def _replaced(text: Column, ordered: Column, word_boundary: bool) -> Column:
     either = F.array_join(F.transform(ordered, lambda m: regex.escaped(m["source"])), "|")
     if word_boundary:
         either = F.concat(F.lit(f"(?<![{regex.WORD}])(?:"), either, F.lit(f")(?![{regex.WORD}])"))
-    found = regex.find_all(text, either)
+    found = let(either, lambda pattern: regex.find_all(text, pattern))
 
     def add(acc: Column, m: Column) -> Column:
         token = F.element_at(F.filter(ordered, lambda o: o["source"] == m["text"]), 1)["token"]
         return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, m["start"] - acc["at"]), token).alias("out"), m["end"].alias("at"))
 
-    done = F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.coalesce(F.size(usable), F.lit(0)) <= 0, text).otherwise(done)
+    return F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def surface_forms(entities: Column, tokens: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloakframe.schema import DETECTIONS, empty, overlaps
+from cloakframe.schema import DETECTIONS, empty, let, overlaps
 
 
 def above(detections: Column, threshold: float) -> Column:
@@ -18,7 +18,10 @@ def by_confidence(detections: Column, threshold: float = 0.0) -> Column:
 
     What lost to a loser doesn't come back.
     """
-    kept = above(detections, threshold)
+    return let(above(detections, threshold), _greedy)
+
+
+def _greedy(kept: Column) -> Column:
     ranked = F.array_sort(F.transform(kept, lambda d, i: F.struct((-d["confidence"]).alias("c"), i.alias("i"), d.alias("d"))))
     chosen = F.aggregate(ranked, empty(DETECTIONS), lambda acc, x: F.when(F.exists(acc, lambda a: overlaps(a, x["d"])), acc).otherwise(F.concat(acc, F.array(x["d"]))))
     ordered = F.array_sort(F.transform(chosen, lambda d, i: F.struct(d["start"].alias("s"), i.alias("i"), d.alias("d"))))

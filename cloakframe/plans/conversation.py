@@ -36,9 +36,9 @@ class Thread:
 
 
 def mentions(found: DataFrame, names: Thread) -> DataFrame:
-    """(thread, turn, ord, label, canonical, source): a row for each different surface form of an entity in a turn."""
+    """(thread, turn, ord, label, canonical, form, source): a row for each different surface form of an entity in a turn."""
     e = found.select(F.col(names.thread).alias("thread"), F.col(names.turn).cast("long").alias("turn"), F.posexplode("entities").alias("ord", "e"))
-    return e.select("thread", "turn", "ord", F.col("e.label").alias("label"), F.col("e.canonical").alias("canonical"), F.explode(F.array_distinct(F.transform("e.detections", lambda d: d["text"]))).alias("source"))
+    return e.select("thread", "turn", "ord", F.col("e.label").alias("label"), F.col("e.canonical").alias("canonical"), F.posexplode(F.array_distinct(F.transform("e.detections", lambda d: d["text"]))).alias("form", "source"))
 
 
 def memory(found: DataFrame, names: Thread) -> DataFrame:
@@ -65,9 +65,9 @@ def _token(pipeline: Pipeline) -> Column:
 def forms(found: DataFrame, pipeline: Pipeline, names: Thread) -> DataFrame:
     """(thread, forms): for each thread all surface forms, with their token and the turn they are known from. As large as the thread's vocabulary."""
     tokens = memory(found, names).select("thread", "label", "canonical", "number", "overall", _token(pipeline).alias("token"))
-    known = mentions(found, names).groupBy("thread", "label", "canonical", "source").agg(F.min(F.struct("turn", "ord")).alias("known"))
+    known = mentions(found, names).groupBy("thread", "label", "canonical", "source").agg(F.min(F.struct("turn", "ord", "form")).alias("known"))
     rows = known.join(tokens, ["thread", "label", "canonical"])
-    form = F.struct("overall", F.col("known.turn").alias("turn"), F.col("known.ord").alias("ord"), "source", "token", "canonical", "label")
+    form = F.struct("overall", F.col("known.turn").alias("turn"), F.col("known.ord").alias("ord"), F.col("known.form").alias("form"), "source", "token", "canonical", "label")
     ordered = F.array_sort(F.collect_list(form))
     return rows.groupBy("thread").agg(F.transform(ordered, lambda f: F.struct(f["source"].alias("source"), f["token"].alias("token"), f["canonical"].alias("canonical"), f["label"].alias("label"), f["turn"].alias("turn"))).alias("forms"))
 

@@ -19,7 +19,7 @@ from cloakframe.operators import resolve
 from cloakframe.operators.detect import Detector, detect_distinct
 from cloakframe.operators.guard import Guard, NoGuard
 from cloakframe.operators.placeholders import Factory, LabelCounter
-from cloakframe.schema import DETECTIONS, ENTITIES, empty
+from cloakframe.schema import DETECTIONS, ENTITIES, empty, let
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,8 @@ class Pipeline:
         found = self.detect(df) if "detections" not in df.columns else df
         text = F.coalesce(F.col(self.text), F.lit(""))
         some = F.size("detections") > 0
-        # One projection for each stage, so that a stage's result isn't put into the next one's expression many times over.
-        found = found.withColumn("_resolved", F.when(some, self.spans(F.col("detections"))).otherwise(empty(DETECTIONS)))
-        found = found.withColumn("_linked", F.when(some, self.link(text, F.col("_resolved"))).otherwise(empty(ENTITIES)))
-        return found.withColumn("entities", F.when(some, self.entities(F.col("_linked"))).otherwise(empty(ENTITIES))).drop("_resolved", "_linked")
+        stages = let(F.col("detections"), lambda d: let(self.spans(d), lambda r: let(self.link(text, r), self.entities)))
+        return found.withColumn("entities", F.when(some, stages).otherwise(empty(ENTITIES)))
 
     def anonymize(self, df: DataFrame) -> DataFrame:
         """Add `entities`, `tokens`, `anonymized_text`, `residual` and `passed`. A null text stays null and has no entities."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,14 @@ SPAN = "struct<text:string,start:int,end:int>"
 LABELS = ("PERSON", "LOCATION", "ORGANIZATION", "EMAIL", "PHONE", "DATE", "ADDRESS", "IBAN", "CREDIT_CARD", "IP_ADDRESS", "URL", "API_KEY")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often and however deep in lambdas the body uses it.
+
+    Putting a Column into an expression twice computes it twice; a lambda's variable isn't.
+    """
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
