@@ -83,7 +83,37 @@ def to_java(pattern: str, ignore_case: bool = False) -> str:
             raise ValueError(f"no conditional groups: {pattern!r}")
         out.append(c)
         i += 1
-    return f"(?{'dui' if ignore_case else 'd'})" + "".join(out)
+    # A match that has to begin with a digit is ruled out by one look at most positions.
+    ahead = f"(?=[{DIGIT}])" if begins_with_digit(re._parser.parse(pattern)) else ""
+    body = "".join(out)
+    return f"(?{'dui' if ignore_case else 'd'}){ahead}(?:{body})" if ahead else f"(?{'dui' if ignore_case else 'd'})" + body
+
+
+def begins_with_digit(parsed) -> bool:
+    """Does every match of a parsed pattern begin with a digit?"""
+    for kind, value in parsed:
+        name = str(kind)
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if name == "LITERAL":
+            return chr(value).isdecimal()
+        if name == "IN":
+            return all(
+                (str(k) == "LITERAL" and chr(v).isdecimal()) or (str(k) == "CATEGORY" and str(v).endswith("CATEGORY_DIGIT")) or (str(k) == "RANGE" and all(48 <= x <= 57 for x in v)) for k, v in value
+            )
+        if name == "SUBPATTERN":
+            return begins_with_digit(value[-1])
+        if name == "BRANCH":
+            return all(begins_with_digit(b) for b in value[1])
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, _, body = value
+            if not begins_with_digit(body):
+                return False
+            if low:
+                return True
+            continue
+        return False
+    return False
 
 
 def needed(pattern: str, ignore_case: bool = False) -> str:
