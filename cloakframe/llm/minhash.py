@@ -149,8 +149,8 @@ def confirm(pairs: DataFrame, full: DataFrame, group: DataFrame, threshold: int
     """Those of the pairs (a, b) whose full shingle sets (`full`: id, shingles) reach the threshold.
 
     A set isn't sent once for each of its pairs: the documents of a group (id, component_id)
-    are cut into blocks of about BLOCK, and a task has the sets of two blocks together with
-    the pairs between them. Any grouping gives the same result.
+    are cut into blocks of about BLOCK, and a task has the pairs between two blocks with
+    the sets that these pairs name. Any grouping gives the same result.
     """
     sizes = group.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -159,9 +159,8 @@ def confirm(pairs: DataFrame, full: DataFrame, group: DataFrame, threshold: int
     place = F.struct("g", "block")
     wanted = pairs.join(placed.select(F.col("id").alias("a"), place.alias("pa")), "a").join(placed.select(F.col("id").alias("b"), place.alias("pb")), "b")
     wanted = cut(wanted.select(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"), "a", "b"))
-    met = wanted.select("x", "y").distinct()
-    met = met.select("*", F.col("x").alias("p")).union(met.where("x <> y").select("*", F.col("y").alias("p")))
-    sent = full.select("id", "shingles").join(placed.select("id", place.alias("p")), "id").join(met, "p")
+    needed = wanted.select("x", "y", F.col("a").alias("id")).union(wanted.select("x", "y", "b")).distinct()
+    sent = full.select("id", "shingles").join(needed, "id")
     sent = sent.select("x.g", "x.block", F.col("y.g").alias("h"), F.col("y.block").alias("other"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
     asked = wanted.select("x.g", "x.block", F.col("y.g").alias("h"), F.col("y.block").alias("other"), "a", "b", F.lit(None).cast("binary").alias("shingles"))
     # Within a pair of blocks the sets come first.
