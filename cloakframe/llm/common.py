@@ -181,7 +181,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- written tables
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
     """`df` as a Parquet table in the checkpoint folder: unlike a checkpoint it is compressed and read by column.
 
     The folder lies inside this application's checkpoint folder and goes with it.
@@ -190,5 +190,5 @@ def written(df: DataFrame) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
