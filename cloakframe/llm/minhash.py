@@ -1,8 +1,8 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Each document's five-word shingles give minima. Bands of whole minima make the candidates;
-for documents that share a band, the low bits of KEPT minima, packed into longs, estimate a
-pair's similarity by bit counts, corrected for chance collisions; what may reach the
+for documents that share a band, BITS bits of a hash of each of KEPT minima, packed into longs,
+estimate a pair's similarity by bit counts, corrected for chance collisions; what may reach the
 threshold is confirmed on the full shingle sets.
 
 Documents with equal shingle sets are one class from the start, so copies cost one row.
@@ -35,7 +35,7 @@ from cloakframe.llm.common import Multipliers, Words, connected_components, cut,
 WIDTH = 5
 BANDS, ROWS = 40, 5
 PERMUTATIONS = BANDS * ROWS
-#: Minima of which BITS low bits are kept, for documents that share a band.
+#: Minima of whose hashes BITS bits are kept, for documents that share a band.
 KEPT, BITS = 1536, 1
 LONGS = KEPT * BITS // 64
 #: In hundredths: pairs with 100 * intersection >= THRESHOLD * union are linked.
@@ -90,8 +90,15 @@ def band_keys(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def packed(shingles: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The low bits of KEPT minima, packed into longs."""
-    bits = (minima(shingles, offsets, KEPT) & 1).astype(np.uint8)
+    """One bit of a hash of each of KEPT minima, packed into longs.
+
+    A minimum's own low bit won't do: as each of _A is odd, it is a fixed bit of the shingle in
+    all permutations, and the errors of a small set would not average out.
+    """
+    x = minima(shingles, offsets, KEPT)
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    bits = (x >> np.uint32(31)).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 

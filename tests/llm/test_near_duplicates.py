@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cloakframe.llm import minhash, substrings
@@ -98,6 +99,29 @@ def test_components_match_brute_force(docs):
     assert got == brute_components(rows)
 
 
+def test_short_near_copies_match_brute_force(spark):
+    r = random.Random(6)
+    docs = []
+    for i in range(240):  # pairs of 3 of 4, 4 of 5, 6 of 8, 9 of 12, 12 of 16 and 17 of 20 shingles
+        small, large = [(3, 4), (4, 5), (6, 8), (9, 12), (12, 16), (17, 20)][i % 6]
+        t = [f"p{i}x{r.randrange(10**6)}" for _ in range(large + 4)]
+        docs += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(t[: small + 4]))]
+    want = brute_components(docs)
+    assert all(want[2 * i + 1][1] == 2 * i for i in range(240))
+    r.shuffle(docs)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(("small", "large"), [(3, 4), (4, 5), (6, 8), (9, 12), (12, 16), (30, 40)])
+def test_estimates_of_small_sets(small, large):
+    x = np.random.default_rng(large).integers(0, 1 << 64, (400, large), np.uint64)
+    some = minhash.packed(x[:, :small].ravel(), np.arange(0, 400 * small + 1, small))
+    every = minhash.packed(x.ravel(), np.arange(0, 400 * large + 1, large))
+    estimates = 1 - 2 * np.bitwise_count((some ^ every).view(np.uint64)).sum(1, dtype=int) / minhash.KEPT
+    assert estimates.min() >= small / large - minhash.MARGIN and estimates.max() <= small / large + minhash.MARGIN
+
+
 def test_components_of_odd_tables(spark):
     odd = spark.createDataFrame([(1, "a b c d e f", 7), (1, "a b c d e f", 7), (2, "a b c d e f", 8), (None, "a b c d e f", 9)], "doc_id long, text string, bands int")
     got = sorted((r.doc_id is None, r.doc_id, r.component_id, r.kept) for r in minhash.components(odd).collect())
