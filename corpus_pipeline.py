@@ -28,8 +28,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that match an earlier line."""
-    return _sized(lines.remove_lines(docs))
+    """All documents, without lines that match an earlier line, however short."""
+    return _sized(lines.remove_lines(docs, min_tokens=1))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
