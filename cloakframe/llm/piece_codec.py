@@ -215,6 +215,7 @@ class PieceCodec:
 
     def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text's)."""
+        texts = [] if self.newline_alone else [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         points, offsets = code_points(data, offsets)
         full = offsets[1:] > offsets[:-1]
         starts = offsets[:-1][full]
@@ -232,7 +233,12 @@ class PieceCodec:
         cut[offsets[:-1][full]] = True
         first = np.flatnonzero(cut)
         ids, sizes = self.table.ids(points, first)
-        return ids, per_text(sizes, first, offsets)
+        at = per_text(sizes, first, offsets)
+        if not self.newline_alone:  # units can't be compared one by one, so whole texts are
+            for text, lo, hi in zip(texts, at[:-1], at[1:], strict=True):
+                if ids[lo:hi].tolist() != self.library.encode(text):
+                    raise RuntimeError(f"encoding differs from the library on a text of {len(text)} characters")
+        return ids, at
 
     def decode_flat(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """Texts of consecutive lists of ids: pieces joined, without the space put before the first."""
@@ -245,6 +251,8 @@ class PieceCodec:
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             part = raw[lo:hi]
             out.append((part[1:] if part[:1] == b" " else part).decode("utf-8", "replace"))
+        if out and out != self.library.decode([ids[lo:hi].tolist() for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)], num_threads=1):
+            raise RuntimeError("decoding differs from the library")
         return out
 
 

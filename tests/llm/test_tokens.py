@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -37,6 +38,20 @@ def test_codecs_match_the_libraries():
     assert encoded(tokens, texts) == [tokens.library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_differences_from_the_library_are_errors():
+    right, c = piece_codec.codec(piece_codec.default_model()), piece_codec.PieceCodec(piece_codec.default_model())
+    ids = np.array(right.library.encode("hello there"), np.int64)
+    c.newline_alone = False
+    assert encoded(c, ODD) == right.library.encode([t or "" for t in ODD], num_threads=1)
+    c.table.clear()
+    c.scores = -c.scores
+    with pytest.raises(RuntimeError, match="encoding differs"):
+        encoded(c, ["hello there, international understanding"])
+    c.text_flat = c.text_flat ^ 1
+    with pytest.raises(RuntimeError, match="decoding differs"):
+        c.decode_flat(ids, np.array([0, len(ids)]))
+
+
 def test_a_small_table_changes_nothing():
     tokens = packing.ByteTokens(packing.default_tokenizer())
     want = encoded(tokens, ["one two three", "two four five six", "one"])
