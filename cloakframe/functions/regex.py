@@ -121,7 +121,10 @@ def needed(pattern: str, ignore_case: bool = False) -> str:
     best, run = "", ""
     if ignore_case:
         return ""
-    for kind, value in re._parser.parse(pattern):
+    parsed = re._parser.parse(pattern)
+    if parsed.state.flags & re.IGNORECASE:
+        return ""
+    for kind, value in parsed:  # literals of a scoped group aren't at the top level
         run = run + chr(value) if str(kind) == "LITERAL" else ""
         best = max(best, run, key=len)
     return best

@@ -271,3 +271,10 @@ def test_registered_functions(spark):
 def test_native_plan_has_no_shuffle_or_python(spark, texts):
     plan = Pipeline(detect.PatternDetector(patterns.GENERIC, validators.VALIDATORS)).anonymize(texts)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_prefilter_of_inline_flags(spark):
+    assert regex.needed("secret-[0-9]+") == "secret-" and "secret" not in regex.needed("(?i:secret)-[0-9]+")
+    for pattern in ("(?i)secret-[0-9]+", "(?i:secret)-[0-9]+"):
+        got = column(spark, ["a SECRET-12", "a secret-3"], detect.PatternDetector({"S": pattern}).column)
+        assert [[d.text for d in row] for row in got] == [["SECRET-12"], ["secret-3"]]
