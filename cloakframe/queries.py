@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +15,7 @@ from cloakframe.plans import conversation
 from cloakframe.plans.conversation import Thread
 from cloakframe.plans.pipeline import Pipeline, restore
 from cloakframe.schema import detection
-from cloakframe.sources import messages
+from cloakframe.sources import cache, messages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -517,9 +519,24 @@ def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id AS k, CASE WHEN event_id % 3 <> 0 THEN event_type END AS value FROM events")
 def cache_ttl_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading by key: every third entry is expired."""
-    entries = _table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("event_type").alias("value"), F.when(F.col("event_id") % 3 == 0, F.lit(1.0)).when(F.col("event_id") % 3 == 1, F.lit(1e18)).alias("expires_at"))
-    live = entries.where(F.col("expires_at").isNull() | (F.col("expires_at") > 2.0)).select("k", "value")
-    return _table(spark, sf_dir, "events").select(F.col("event_id").alias("k")).join(live, "k", "left")
+    now = [0.0]
+    store = cache.TableCache(spark, _shared_path(spark, "cache"), clock=lambda: now[0])
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("value"))
+    for rest, ttl in ((0, 1.0), (1, 1e18), (2, None)):
+        store.put_all(events.where(F.col("k") % 3 == rest), ttl)
+    now[0] = 2.0
+    return store.get_all(events.select("k", "key")).select("k", F.col("value").cast("string").alias("value"))
+
+
+def _shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster names for checkpoints; for a local master without one, in a temporary one."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="cloakframe-")
+    return f"{folder}/{name}-{uuid.uuid4()}"
 
 
 # ---------------------------------------------------------------- conversations

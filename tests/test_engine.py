@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cloakframe import queries
 from cloakframe.errors import MappingMissing, ResidualFound
 from cloakframe.functions import regex, register, similarity, validators
 from cloakframe.operators import detect, guard, link, patterns, placeholders, replace, resolve
@@ -273,6 +274,14 @@ def test_native_plan_has_no_shuffle_or_python(spark, texts):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_cache_query_reads_the_cache(spark, sf, monkeypatch):
+    asked, get_all = [], TableCache.get_all
+    monkeypatch.setattr(TableCache, "get_all", lambda self, keys: asked.append(self.path) or get_all(self, keys))
+    got = {r.k: r.value for r in queries.cache_ttl_get(spark, sf).collect()}
+    events = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type").collect()
+    assert len(asked) == 1 and got == {e.event_id: e.event_type if e.event_id % 3 else None for e in events}
+
+
 def test_prefilter_of_inline_flags(spark):
     assert regex.needed("secret-[0-9]+") == "secret-" and "secret" not in regex.needed("(?i:secret)-[0-9]+")
     for pattern in ("(?i)secret-[0-9]+", "(?i:secret)-[0-9]+"):
