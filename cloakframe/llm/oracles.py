@@ -32,7 +32,7 @@ sets AS (
     list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+')) AS s
   FROM ln
 ),
-big AS (SELECT *, len(s) AS n FROM sets WHERE len(s) >= 5),
+big AS (SELECT *, len(s) AS n FROM sets WHERE len(s) >= 1),
 tok AS (SELECT id, n, unnest(s) AS w FROM big),
 df AS (SELECT w, count(*) AS c FROM tok GROUP BY w),
 pos AS (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS p FROM tok JOIN df USING (w)),
