@@ -57,7 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     with released(df.sparkSession):
-        return df.checkpoint()
+        return df.select("*").checkpoint()  # a plan keeps the setting under which it was made
 
 
 # ---------------------------------------------------------------- hashing
