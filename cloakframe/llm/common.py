@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,26 +37,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
-@contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is executed inside go as soon as its result is stored, not when the driver collects garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+    The cleaner acts when the driver collects garbage, which a quiet driver seldom does. Removing the files
+    by plan, at its end, isn't safe: tasks that adaptive execution left behind still ask for them.
+    """
+    spark.sparkContext._jvm.System.gc()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later stages survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
-    with released(df.sparkSession):
-        return df.select("*").checkpoint()  # a plan keeps the setting under which it was made
+    release(df.sparkSession)
+    return df.checkpoint()
 
 
 # ---------------------------------------------------------------- hashing
@@ -207,6 +200,6 @@ def written(df: DataFrame, options: dict[str, str] | None = None) -> DataFrame:
 
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    with released(df.sparkSession):
-        df.write.options(**(options or {})).parquet(path)
+    release(df.sparkSession)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
