@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloakframe.functions import regex
-from cloakframe.schema import DETECTIONS, detection, empty, let
+from cloakframe.schema import DETECTIONS, detection, empty, free, held, let
 
 
 class Detector:
@@ -27,7 +27,7 @@ class Detector:
         raise NotImplementedError
 
     def add(self, df: DataFrame, text: str = "text", out: str = "detections") -> DataFrame:
-        return df.withColumn(out, self.column(F.col(text)))
+        return df.withColumn(out, held(self.column(F.col(text))))
 
 
 def _checked(valid: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -248,10 +248,11 @@ def model_detector(kind: str, load: Callable[[], Callable], labels: Sequence[str
 
 def detect_distinct(df: DataFrame, detector: Detector, text: str = "text", out: str = "detections") -> DataFrame:
     """Detect once for each distinct text. For detectors that cost more than a shuffle of the texts."""
+    sha, found = free(df, "_sha", "_found")
     key = F.sha2(F.col(text).cast("binary"), 256)
-    keyed = df.withColumn("_sha", key)
-    once = keyed.where(F.col(text).isNotNull()).groupBy("_sha").agg(F.first(text).alias("_text")).select("_sha", detector.column(F.col("_text")).alias(out))
-    return keyed.join(once, "_sha", "left").withColumn(out, F.coalesce(out, empty(DETECTIONS))).drop("_sha")
+    once = df.where(F.col(text).isNotNull()).groupBy(key.alias(sha)).agg(F.first(text).alias("_text")).select(sha, held(detector.column(F.col("_text"))).alias(found))
+    joined = df.join(once, F.sha2(df[text].cast("binary"), 256) == once[sha], "left")
+    return joined.withColumn(out, F.coalesce(found, empty(DETECTIONS))).drop(sha, found)
 
 
 def detect_words_joined(df: DataFrame, bag: DataFrame, key: str = "doc_id", text: str = "text", largest_broadcast: int = 200_000) -> DataFrame:
@@ -269,8 +270,11 @@ def detect_words_joined(df: DataFrame, bag: DataFrame, key: str = "doc_id", text
 
 def with_overrides(df: DataFrame, detector: Detector, overrides: DataFrame, keys: Sequence[str] = ("thread_id",), text: str = "text", out: str = "detections") -> DataFrame:
     """Rows whose keys and text's hash are in `overrides` (keys, sha, detections) take those; only the others are detected."""
-    keyed = df.withColumn("sha", F.sha2(F.col(text).cast("binary"), 256))
-    given = overrides.select(*keys, "sha", F.col("detections").alias("_given"))
-    joined = keyed.join(given, [*keys, "sha"], "left")
-    kept = F.when(F.col("_given").isNull(), F.col(text))
-    return joined.withColumn(out, F.coalesce("_given", detector.column(kept), empty(DETECTIONS))).drop("_given", "sha")
+    sha, theirs, *own = free(df, "_sha", "_given", *(f"_{k}" for k in keys))
+    given = overrides.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col("sha").alias(sha), F.col("detections").alias(theirs))
+    same = F.sha2(df[text].cast("binary"), 256) == given[sha]
+    for k, o in zip(keys, own, strict=True):
+        same = same & (df[k] == given[o])
+    joined = df.join(given, same, "left")
+    kept = F.when(F.col(theirs).isNull(), F.col(text))
+    return joined.withColumn(out, held(F.coalesce(F.col(theirs), detector.column(kept), empty(DETECTIONS)))).drop(sha, theirs, *own)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.errors import ResidualFound
 from cloakframe.operators.detect import Detector
-from cloakframe.schema import DETECTIONS, empty
+from cloakframe.schema import DETECTIONS, empty, held
 
 
 class Guard:
@@ -18,7 +18,7 @@ class Guard:
 
     def add(self, df: DataFrame, text: str, out: str = "residual") -> DataFrame:
         """Add the residual detections and `passed`."""
-        return df.withColumn(out, self.residual(F.col(text))).withColumn("passed", F.size(out) == 0)
+        return df.withColumn(out, held(self.residual(F.col(text)))).withColumn("passed", F.size(out) == 0)
 
 
 class NoGuard(Guard):

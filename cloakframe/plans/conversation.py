@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from cloakframe.operators import replace as replacing
 from cloakframe.operators.placeholders import LabelCounter, RedactCounter, check_identity
 from cloakframe.plans.pipeline import Pipeline
+from cloakframe.schema import free, held
+from cloakframe.sources.tables import stored
 
 FORMS = "array<struct<source:string,token:string,canonical:string,label:string,turn:long>>"
 
@@ -75,17 +77,19 @@ def forms(found: DataFrame, pipeline: Pipeline, names: Thread) -> DataFrame:
 def anonymize(df: DataFrame, pipeline: Pipeline, names: Thread | None = None, word_boundary: bool = False) -> DataFrame:
     """Add `entities`, `forms` (known by the turn), `anonymized_text`, `residual`, `passed`.
 
-    Surface forms learned in earlier turns are replaced even where nothing is detected now.
+    Surface forms learned in earlier turns are replaced even where nothing is detected now. What is
+    detected is used three times, so it is written once to the shared folder first.
     """
     names = names or Thread()
     check_identity(pipeline.factory)
-    found = pipeline.with_(text=names.text).find(df)
-    known = forms(found, pipeline, names).withColumnRenamed("thread", "_thread")
-    out = found.join(known, found[names.thread] == known["_thread"], "left").drop("_thread")
+    found = stored(pipeline.with_(text=names.text).find(df), "found")
+    (thread,) = free(found, "_thread")
+    known = forms(found, pipeline, names).withColumnRenamed("thread", thread)
+    out = found.join(known, found[names.thread] == known[thread], "left").drop(thread)
     visible = F.filter(F.coalesce("forms", F.array().cast(FORMS)), lambda f: f["turn"] <= F.col(names.turn))
     out = out.withColumn("forms", visible)
-    out = out.withColumn("anonymized_text", replacing.replace_all(F.col(names.text), F.transform("forms", lambda f: F.struct(f["source"], f["token"])), word_boundary))
-    out = out.withColumn("residual", F.when(F.col("anonymized_text").isNotNull(), pipeline.guard.residual(F.col("anonymized_text"))))
+    out = out.withColumn("anonymized_text", held(replacing.replace_all(F.col(names.text), F.transform("forms", lambda f: F.struct(f["source"], f["token"])), word_boundary)))
+    out = out.withColumn("residual", held(F.when(F.col("anonymized_text").isNotNull(), pipeline.guard.residual(F.col("anonymized_text")))))
     return out.withColumn("passed", F.coalesce(F.size("residual"), F.lit(0)) <= 0)
 
 

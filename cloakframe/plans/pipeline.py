@@ -19,7 +19,7 @@ from cloakframe.operators import resolve
 from cloakframe.operators.detect import Detector, detect_distinct
 from cloakframe.operators.guard import Guard, NoGuard
 from cloakframe.operators.placeholders import Factory, LabelCounter
-from cloakframe.schema import DETECTIONS, ENTITIES, empty, let
+from cloakframe.schema import DETECTIONS, ENTITIES, empty, free, held, let
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,8 @@ class Pipeline:
     text: str = "text"
     #: Detect once for each distinct text, at the price of a shuffle: for models.
     distinct: bool = False
+    #: The table has its `detections` already (from `with_overrides`, say).
+    detected: bool = False
 
     def with_(self, **changes) -> Pipeline:
         return replace(self, **changes)
@@ -45,18 +47,18 @@ class Pipeline:
 
     def find(self, df: DataFrame) -> DataFrame:
         """Add `detections` and `entities`; nothing is stored."""
-        found = self.detect(df) if "detections" not in df.columns else df
+        found = df if self.detected else self.detect(df)
         text = F.coalesce(F.col(self.text), F.lit(""))
         some = F.size("detections") > 0
         stages = let(F.col("detections"), lambda d: let(self.spans(d), lambda r: let(self.link(text, r), self.entities)))
-        return found.withColumn("entities", F.when(some, stages).otherwise(empty(ENTITIES)))
+        return found.withColumn("entities", held(F.when(some, stages).otherwise(empty(ENTITIES))))
 
     def anonymize(self, df: DataFrame) -> DataFrame:
         """Add `entities`, `tokens`, `anonymized_text`, `residual` and `passed`. A null text stays null and has no entities."""
         out = self.find(df)
-        out = out.withColumn("tokens", self.factory.tokens(F.col("entities")))
-        out = out.withColumn("anonymized_text", replacing.splice(F.col(self.text), F.col("entities"), F.col("tokens")))
-        out = out.withColumn("residual", F.when(F.col("anonymized_text").isNotNull(), self.guard.residual(F.col("anonymized_text"))).otherwise(empty(DETECTIONS)))
+        out = out.withColumn("tokens", held(self.factory.tokens(F.col("entities"))))
+        out = out.withColumn("anonymized_text", held(replacing.splice(F.col(self.text), F.col("entities"), F.col("tokens"))))
+        out = out.withColumn("residual", held(F.when(F.col("anonymized_text").isNotNull(), self.guard.residual(F.col("anonymized_text"))).otherwise(empty(DETECTIONS))))
         return out.withColumn("passed", F.size("residual") == 0)
 
     def mapping(self, anonymized: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -66,13 +68,22 @@ class Pipeline:
 
 
 def restore(df: DataFrame, mapping: DataFrame, text: str = "anonymized_text", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Add `restored` and `error` ("missing" where there is no mapping), by the text's hash."""
-    keyed = df.withColumn("sha", F.sha2(F.col(text).cast("binary"), 256))
-    known = mapping.select(*keys, "sha", F.col("entities").alias("_entities"), F.col("tokens").alias("_tokens"), F.lit(True).alias("_known"))
-    joined = keyed.join(known, [*keys, "sha"], "left")
-    joined = joined.withColumn("_restored", F.when(F.col("_known"), replacing.restore(F.col(text), F.col("_entities"), F.col("_tokens"))))
-    out = joined.withColumn("restored", F.col("_restored.text")).withColumn("error", F.when(F.col("_known").isNull(), "missing").otherwise(F.col("_restored.error")))
-    return out.drop("sha", "_entities", "_tokens", "_known", "_restored")
+    """Add (or replace) `restored` and `error` ("missing" where there is no mapping), by the text's hash."""
+    entities, tokens, known, done = free(df, "_entities", "_tokens", "_known", "_done")
+    joined = _known(df, mapping, text, keys, F.col("entities").alias(entities), F.col("tokens").alias(tokens), F.lit(True).alias(known))
+    joined = joined.withColumn(done, held(F.when(F.col(known), replacing.restore(F.col(text), F.col(entities), F.col(tokens)))))
+    out = joined.withColumn("restored", F.col(done)["text"]).withColumn("error", F.when(F.col(known).isNull(), "missing").otherwise(F.col(done)["error"]))
+    return out.drop(entities, tokens, known, done)
+
+
+def _known(df: DataFrame, mapping: DataFrame, text: str, keys: tuple[str, ...], *values: Column) -> DataFrame:
+    """`df` with values of the mapping's row for its keys and its text's hash, null where there is none."""
+    sha, *own = free(df, "_sha", *(f"_{k}" for k in keys))
+    rows = mapping.select(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col("sha").alias(sha), *values)
+    same = F.sha2(df[text].cast("binary"), 256) == rows[sha]
+    for k, o in zip(keys, own, strict=True):
+        same = same & (df[k] == rows[o])
+    return df.join(rows, same, "left").drop(sha, *own)
 
 
 def restore_strict(df: DataFrame, mapping: DataFrame, text: str = "anonymized_text", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -84,6 +95,6 @@ def restore_strict(df: DataFrame, mapping: DataFrame, text: str = "anonymized_te
 
 
 def with_originals(df: DataFrame, mapping: DataFrame, text: str = "anonymized_text", keys: tuple[str, ...] = ("thread_id",)) -> DataFrame:
-    """Add `restored`: the stored original, null where there is none."""
-    keyed = df.withColumn("sha", F.sha2(F.col(text).cast("binary"), 256))
-    return keyed.join(mapping.select(*keys, "sha", F.col("original").alias("restored")), [*keys, "sha"], "left").drop("sha")
+    """Add (or replace) `restored`: the stored original, null where there is none."""
+    (original,) = free(df, "_stored")
+    return _known(df, mapping, text, keys, F.col("original").alias(original)).withColumn("restored", F.col(original)).drop(original)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +11,10 @@ from cloakframe.functions import regex, similarity, validators
 from cloakframe.operators import audit, detect, guard, link, patterns, placeholders, resolve
 from cloakframe.plans import conversation
 from cloakframe.plans.conversation import Thread
-from cloakframe.plans.pipeline import Pipeline, restore
-from cloakframe.schema import detection
+from cloakframe.plans.pipeline import Pipeline, restore, with_originals
+from cloakframe.schema import detection, held
 from cloakframe.sources import cache, messages
+from cloakframe.sources.tables import shared_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -342,7 +341,7 @@ def merge_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _leaders(measure: Callable[[Column, Column], Column], threshold: float) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = _words_pipeline().find(_docs(spark, sf_dir)).where(F.size("entities") > 0)
-        found = found.withColumn("merged", link.merge_similar(F.col("entities"), measure, threshold))
+        found = found.withColumn("merged", held(link.merge_similar(F.col("entities"), measure, threshold)))
         return found.select("doc_id", F.posexplode("merged").alias("i", "e")).select("doc_id", F.col("i").alias("entity_ord"), "e.label", "e.canonical", F.size("e.detections").cast("long").alias("mentions"))
 
     return run
@@ -439,7 +438,7 @@ def anonymize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.anonymize(_docs(spark, sf_dir)).select("doc_id", F.sha2(F.col("anonymized_text").cast("binary"), 256).alias("sha"))
 
 
-_COUNTED_SQL = (
+_COUNTED_CTE = (
     _ENTITIES_SQL
     + r""", cut AS (
   SELECT doc_id, string_agg(
@@ -449,10 +448,14 @@ _COUNTED_SQL = (
     + _BAG_SQL
     + """ ON lower(p.word) = bag.word LEFT JOIN numbered USING (doc_id) WHERE bag.word IS NULL AND numbered.o IS NULL OR numbered.canonical = lower(p.word) OR (bag.word IS NULL AND numbered.o = 1)
   GROUP BY doc_id
+),
+counted AS (
+  SELECT doc_id, pieces.text, coalesce(e.n, 0) AS n_entities, sha256(coalesce(pieces.p[1], '') || coalesce(cut.tail, '')) AS sha
+  FROM pieces LEFT JOIN cut USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM entities GROUP BY doc_id) e USING (doc_id)
 )
-SELECT doc_id, coalesce(e.n, 0) AS n_entities, sha256(coalesce(pieces.p[1], '') || coalesce(cut.tail, '')) AS sha
-FROM pieces LEFT JOIN cut USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM entities GROUP BY doc_id) e USING (doc_id)"""
+"""
 )
+_COUNTED_SQL = _COUNTED_CTE + "SELECT doc_id, n_entities, sha FROM counted"
 
 
 @query(_COUNTED_SQL)
@@ -472,21 +475,27 @@ def anonymize_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _generic().anonymize(_docs(spark, sf_dir)).select("doc_id", F.size("entities").alias("n_entities"), "anonymized_text")
 
 
-@query("SELECT doc_id, true AS same, CAST(NULL AS VARCHAR) AS error FROM documents")
+def _sha(text: str) -> Column:
+    return F.sha2(F.col(text).cast("binary"), 256)
+
+
+@query(_COUNTED_CTE + "SELECT doc_id, n_entities, sha, sha256(text) AS restored_sha, CAST(NULL AS VARCHAR) AS error FROM counted")
 def deanonymize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _generic()
-    done = p.anonymize(_docs(spark, sf_dir))
+    """What the texts become, and what restoring makes of that. The pipeline runs once: its output is stored."""
+    p = _words_pipeline()
+    done = stored(p.anonymize(_docs(spark, sf_dir)), "anonymized")
     # Texts that differ only where something was replaced have one output; their mapping is kept by document.
-    back = restore(done.select("doc_id", "text", "anonymized_text"), p.mapping(done, ("doc_id",)), keys=("doc_id",))
-    return back.select("doc_id", (F.col("restored") == F.col("text")).alias("same"), "error")
+    asked = done.select("doc_id", "anonymized_text", F.size("entities").cast("long").alias("n_entities"))
+    back = restore(asked, p.mapping(done, ("doc_id",)), keys=("doc_id",))
+    return back.select("doc_id", "n_entities", _sha("anonymized_text").alias("sha"), _sha("restored").alias("restored_sha"), "error")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'missing' END AS error FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN sha256(text) END AS restored_sha, CASE WHEN doc_id % 3 = 0 THEN 'missing' END AS error FROM documents")
 def deanonymize_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _generic()
-    done = p.anonymize(_docs(spark, sf_dir))
+    done = stored(p.anonymize(_docs(spark, sf_dir)), "anonymized")
     asked = done.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("anonymized_text", F.lit("?"))).otherwise(F.col("anonymized_text")).alias("anonymized_text"))
-    return restore(asked, p.mapping(done, ("doc_id",)), keys=("doc_id",)).select("doc_id", "error")
+    return restore(asked, p.mapping(done, ("doc_id",)), keys=("doc_id",)).select("doc_id", _sha("restored").alias("restored_sha"), "error")
 
 
 @query("SELECT item_id, len(regexp_extract_all(text, '" + patterns.GENERIC["EMAIL"] + "')) = 0 AS passed FROM benchmark")
@@ -495,10 +504,10 @@ def guard_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("item_id", "passed")
 
 
-@query("SELECT doc_id, true AS passed FROM documents")
+@query(_COUNTED_CTE + "SELECT doc_id, n_entities, sha, true AS passed FROM counted")
 def guard_after_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _words_pipeline().with_(guard=guard.DetectorGuard(detect.WordDetector(_BAG)))
-    return p.anonymize(_docs(spark, sf_dir)).select("doc_id", "passed")
+    return p.anonymize(_docs(spark, sf_dir)).select("doc_id", F.size("entities").cast("long").alias("n_entities"), _sha("anonymized_text").alias("sha"), "passed")
 
 
 _REPORT_SQL = "SELECT lang, label, count(*) AS entities, sum(mentions)::BIGINT AS mentions FROM (SELECT documents.lang, entities.* FROM entities JOIN documents USING (doc_id)) GROUP BY ROLLUP (lang, label)"
@@ -520,7 +529,7 @@ def audit_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_ttl_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reading by key: every third entry is expired."""
     now = [0.0]
-    store = cache.TableCache(spark, _shared_path(spark, "cache"), clock=lambda: now[0])
+    store = cache.TableCache(spark, shared_path(spark, "cache"), clock=lambda: now[0])
     events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("event_id").cast("string").alias("key"), F.col("event_type").alias("value"))
     for rest, ttl in ((0, 1.0), (1, 1e18), (2, None)):
         store.put_all(events.where(F.col("k") % 3 == rest), ttl)
@@ -528,29 +537,39 @@ def cache_ttl_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.get_all(events.select("k", "key")).select("k", F.col("value").cast("string").alias("value"))
 
 
-def _shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster names for checkpoints; for a local master without one, in a temporary one."""
-    sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="cloakframe-")
-    return f"{folder}/{name}-{uuid.uuid4()}"
-
-
 # ---------------------------------------------------------------- conversations
 
 _NAMES = Thread("conv_id", "turn", "text")
-_TURN_SQL = (
+_TURNS_SQL = (
     "WITH "
-    + _WORDS_SQL.format(key="conv_id, turn", table="conversations")
+    + _WORDS_SQL.replace("{table}", "{{table}}").format(key="conv_id, turn")
     + f""", hits AS (SELECT conv_id, turn, label, lower(words.word) AS canonical, words.word AS surface, start FROM words JOIN {_BAG_SQL} ON lower(words.word) = bag.word),
 memory AS (SELECT conv_id, label, canonical, min(turn * 1000000 + start) AS first FROM hits GROUP BY ALL),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, label ORDER BY first) AS n FROM memory),
 forms AS (SELECT conv_id, label, canonical, surface, min(turn) AS turn FROM hits GROUP BY ALL)
 """
 )
+_TURN_SQL = _TURNS_SQL.replace("{table}", "conversations")
+
+
+def _replaced_sql(text: str, pairs: str) -> str:
+    """The text with each of the pairs (a, b: replace a by b) put in. The bag's words have one length and don't overlap, so the order doesn't matter."""
+    return f"CASE WHEN len({pairs}) > 0 THEN list_reduce(list_prepend({{'a': {text}, 'b': ''}}, {pairs}), lambda x, y: {{'a': replace(x.a, y.a, y.b), 'b': ''}}).a ELSE {text} END"
+
+
+_ANON_TURNS_CTE = (
+    """, known AS (
+  SELECT f.conv_id, f.surface, f.turn, '<<' || f.label || ':' || n || '>>' AS token FROM forms f JOIN numbered USING (conv_id, label, canonical)
+),
+seen AS (
+  SELECT c.conv_id, c.turn, list({'a': k.surface, 'b': k.token}) AS pairs FROM conversations c JOIN known k ON k.conv_id = c.conv_id AND k.turn <= c.turn GROUP BY ALL
+),
+turns AS (SELECT c.*, """
+    + _replaced_sql("c.text", "pairs")
+    + """ AS anonymized_text FROM conversations c LEFT JOIN seen USING (conv_id, turn))
+"""
+)
+_ANON_TURNS_SQL = _TURN_SQL + _ANON_TURNS_CTE
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -570,7 +589,7 @@ def thread_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("thread").alias("conv_id"), "canonical", "label").agg(F.array_join(F.array_sort(F.collect_list("source")), "|").alias("surfaces")).drop("label")
 
 
-@query()
+@query(_ANON_TURNS_SQL + "SELECT conv_id, turn, anonymized_text FROM turns")
 def thread_anonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.anonymize(_turns(spark, sf_dir), _words_pipeline(), _NAMES).select("conv_id", "turn", "anonymized_text")
 
@@ -586,13 +605,12 @@ def thread_reference_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("thread").alias("conv_id"), "turn", "anonymized_text")
 
 
-@query("SELECT conv_id, turn, true AS same FROM conversations")
+@query(_ANON_TURNS_SQL + "SELECT conv_id, turn, sha256(anonymized_text) AS sha, arg_min(text, turn) OVER (PARTITION BY conv_id, anonymized_text) AS restored FROM turns")
 def thread_deanonymize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored original, by thread and hash of the output (of equal outputs, the earliest turn's)."""
-    done = conversation.anonymize(_turns(spark, sf_dir), _words_pipeline(), _NAMES)
-    first = conversation.mapping(done, _NAMES)
-    back = done.withColumn("sha", F.sha2(F.col("anonymized_text").cast("binary"), 256)).join(first, ["conv_id", "sha"], "left")
-    return back.select("conv_id", "turn", (F.lower("original") == F.lower("text")).alias("same"))
+    done = stored(conversation.anonymize(_turns(spark, sf_dir), _words_pipeline(), _NAMES), "turns")
+    back = with_originals(done, conversation.mapping(done, _NAMES), "anonymized_text", ("conv_id",))
+    return back.select("conv_id", "turn", _sha("anonymized_text").alias("sha"), "restored")
 
 
 @query(_TURN_SQL + ", first AS (SELECT conv_id, label, canonical, arg_min(surface, turn * 1000000 + start) AS surface FROM hits GROUP BY ALL) SELECT conv_id, 'seen ' || surface || '.' AS restored FROM first JOIN numbered USING (conv_id, label, canonical)")
@@ -606,20 +624,46 @@ def thread_deanonymize_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.restore_tokens(replies, known, "text", "conv_id").select("conv_id", "restored")
 
 
-@query("SELECT conv_id, turn, role = 'system' AS untouched FROM conversations WHERE role = 'system'")
+@query(
+    _TURNS_SQL.replace("{table}", "(SELECT * FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '')")
+    + _ANON_TURNS_CTE
+    + "SELECT conv_id, turn, role, CASE WHEN role IN ('user', 'assistant') AND trim(text) <> '' THEN anonymized_text ELSE text END AS content FROM turns"
+)
 def messages_before_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = messages.before_model(_turns(spark, sf_dir), _words_pipeline(), names=_NAMES)
-    return out.where("role = 'system'").select("conv_id", "turn", (F.col("content") == F.col("text")).alias("untouched"))
+    return messages.before_model(_turns(spark, sf_dir), _words_pipeline(), names=_NAMES).select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "content")
 
 
-@query("SELECT conv_id, turn, true AS restored FROM conversations WHERE role = 'assistant'")
-def messages_tool_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool calls made of assistant turns: arguments are restored, responses anonymised again."""
-    p = _words_pipeline()
-    turns = _turns(spark, sf_dir)
-    done = conversation.anonymize(turns, p, _NAMES)
-    known = conversation.forms(p.find(turns), p, _NAMES)
-    calls = done.where("role = 'assistant'").select("conv_id", "turn", "text", F.create_map(F.lit("q"), F.col("anonymized_text")).alias("args"), F.col("text").alias("response"))
-    out = messages.tool_calls(calls, known, messages.ToolStrategy.FULL, thread="conv_id")
-    return out.select("conv_id", "turn", (F.lower(F.col("args")["q"]) == F.lower("text")).alias("restored"))
+def _calls(strategy: messages.ToolStrategy) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Tool calls made of assistant turns, in their thread's tokens; the tool answers with the original."""
+        p = _words_pipeline()
+        turns = _turns(spark, sf_dir)
+        done = conversation.anonymize(turns, p, _NAMES)
+        known = conversation.forms(p.find(turns), p, _NAMES)
+        calls = done.where("role = 'assistant'").select("conv_id", "turn", F.create_map(F.lit("q"), F.col("anonymized_text")).alias("args"), F.col("text").alias("response"))
+        out = messages.tool_calls(calls, known, strategy, thread="conv_id")
+        return out.select("conv_id", "turn", F.col("args")["q"].alias("query"), "response")
 
+    return run
+
+
+#: The tokens are replaced by the form that their entity was first seen as, and the response's forms, of any turn, by tokens.
+_CALLS_SQL = (
+    _ANON_TURNS_SQL
+    + """, first AS (SELECT conv_id, label, canonical, arg_min(surface, turn * 1000000 + start) AS surface FROM hits GROUP BY ALL),
+both_ways AS (
+  SELECT conv_id, list({'a': '<<' || label || ':' || n || '>>', 'b': surface}) AS back FROM first JOIN numbered USING (conv_id, label, canonical) GROUP BY conv_id
+),
+every AS (SELECT conv_id, list({'a': surface, 'b': token}) AS forth FROM known GROUP BY conv_id)
+SELECT conv_id, turn, """
+)
+_CALLS_FROM = " FROM turns LEFT JOIN both_ways USING (conv_id) LEFT JOIN every USING (conv_id) WHERE role = 'assistant'"
+_QUERY, _RESPONSE = _replaced_sql("anonymized_text", "back") + " AS query", _replaced_sql("text", "forth") + " AS response"
+for _name, _strategy, _columns in (
+    ("messages_tool_strategy", messages.ToolStrategy.FULL, f"{_QUERY}, {_RESPONSE}"),
+    ("messages_tool_inbound", messages.ToolStrategy.INBOUND_ONLY, f"{_QUERY}, text AS response"),
+    ("messages_tool_passthrough", messages.ToolStrategy.PASSTHROUGH, "anonymized_text AS query, text AS response"),
+):
+    _run = _calls(_strategy)
+    _run.__name__ = _name
+    query(_CALLS_SQL + _columns + _CALLS_FROM)(_run)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DETECTION = "struct<text:string,label:string,start:int,end:int,confidence:double>"
@@ -25,6 +25,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
+def held(value: Column) -> Column:
+    """The value, kept by the optimiser as a column of its own.
+
+    A filter or generator on a computed column is otherwise pushed below the projection, with the
+    whole expression copied into it. Nothing is moved past a value that isn't deterministic, so filters
+    on other columns belong before this one.
+    """
+    return F.when(~F.isnan(F.rand(0)), value)  # always so, but not foreseeable
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where `df` has such columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def empty(kind: str) -> Column:
     return F.array().cast(kind)
 

@@ -287,3 +287,45 @@ def test_prefilter_of_inline_flags(spark):
     for pattern in ("(?i)secret-[0-9]+", "(?i:secret)-[0-9]+"):
         got = column(spark, ["a SECRET-12", "a secret-3"], detect.PatternDetector({"S": pattern}).column)
         assert [[d.text for d in row] for row in got] == [["SECRET-12"], ["secret-3"]]
+
+
+def test_no_column_is_lost(spark):
+    """Columns named like those that the operators use inside stay as they are."""
+    own = {n: f"own {n}" for n in ("sha", "_sha", "_given", "_found", "_entities", "_tokens", "_known", "_done", "_stored", "_thread", "_doc_id", "detected")}
+    rows = spark.createDataFrame([{"doc_id": "1", "turn": 1, "text": "Patrick was in Paris", **own}])
+    p = Pipeline(detect.WordDetector(BAG))
+    done = p.anonymize(rows)
+    back = pipeline.restore(done, p.mapping(done, ("doc_id",)), keys=("doc_id",))
+    given = rows.selectExpr("doc_id", "sha2(text, 256) AS sha").withColumn("detections", F.array().cast(DETECTIONS))
+    outs = {
+        "restore": back,
+        "originals": pipeline.with_originals(done, p.mapping(done, ("doc_id",)), keys=("doc_id",)),
+        "overrides": detect.with_overrides(rows, p.detector, given, ("doc_id",)),
+        "distinct": detect.detect_distinct(rows, p.detector),
+        "conversation": conversation.anonymize(rows, p, Thread("doc_id")),
+    }
+    for name, out in outs.items():
+        row = out.first().asDict()
+        assert {k: row[k] for k in own} == own, name
+    assert back.first().restored == outs["originals"].first().restored == "Patrick was in Paris"
+    assert outs["overrides"].first().detections == []
+    assert len(outs["distinct"].first().detections) == 2
+
+
+def test_unrelated_detections_column(spark):
+    rows = spark.createDataFrame([("Patrick", "mine")], "text string, detections string")
+    assert Pipeline(detect.WordDetector(BAG)).anonymize(rows).first().anonymized_text == "<<PERSON:1>>"
+
+
+def optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_do_not_repeat_the_detection(spark, sf):
+    """Each pattern is in one place of the plan, whatever filters and generators follow."""
+    patterns_of = lambda df: optimised(df).count("regexp_replace")
+    run = lambda name: patterns_of(queries.QUERIES[name](spark, sf))
+    assert run("detect_email") == 1
+    assert run("exact_match_dict") == len(queries._BAG)
+    entities = patterns_of(Pipeline(detect.WordDetector(queries._BAG)).find(queries._docs(spark, sf)))
+    assert run("link_group") == run("fuzzy_levenshtein") == entities
