@@ -221,7 +221,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def link(reps: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Confirmed pairs (a, b) that join all components that the bands can join; reps has id, bands."""
+    """Pairs (a, b) that join all components that the bands can join, each confirmed or (id, component_id) of confirmed ones; reps has id, bands."""
     least = threshold / 100 - MARGIN
     members = reps.select("id", F.posexplode("bands").alias("t", "band"))
     buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -238,21 +238,20 @@ def link(reps: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFr
     near = beside.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     near = near.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     near = cut(near.select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("e")).where(F.col("e") >= least))
-    linked, tried, group = None, None, None
+    component, tried, group = None, None, None
     for _ in range(ROUNDS):
         # For each document the likeliest of its pairs that would still join components.
-        open_pairs = near if linked is None else _between(near, connected_components(linked))
+        open_pairs = near if component is None else _between(near, component)
         own = open_pairs.select(F.col("a").alias("id"), "*").union(open_pairs.select(F.col("b").alias("id"), "*"))
         best = own.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("e"), "a", "b"))).where("k <= 2")
         chosen = best.select("a", "b").distinct()
         chosen = cut(chosen if tried is None else chosen.join(tried, ["a", "b"], "left_anti"))
         tried = chosen if tried is None else tried.union(chosen)
         group = connected_components(chosen) if group is None else group
-        found = cut(confirm(chosen, full, group, threshold))
-        linked = found if linked is None else linked.union(found)
+        found = confirm(chosen, full, group, threshold)
+        component = connected_components(found if component is None else component.select("id", "component_id").toDF("a", "b").union(found))
     # Buckets whose members are still in several components: those outside the bucket's largest one are tried with
     # all members of other components, each pair in the first band that it shares.
-    component = connected_components(linked)
     placed = members.join(component, "id", "left").select("band", "t", "id", F.coalesce("component_id", "id").alias("c"))
     counts = placed.groupBy("band", "c").agg(F.count("*").alias("m"))
     main = counts.groupBy("band").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("band", "main")
@@ -264,7 +263,7 @@ def link(reps: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFr
     met = (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & once & (estimate(F.col("x.sig"), F.col("y.sig")) >= least) & first
     pairs = x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
     pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    return linked.union(confirm(pairs, full, group, threshold))
+    return component.toDF("a", "b").union(confirm(pairs, full, group, threshold))
 
 
 def _between(pairs: DataFrame, component: DataFrame) -> DataFrame:
