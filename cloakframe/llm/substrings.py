@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakframe.llm.common import Multipliers, Words, rolling, signed, span_hashes, text_chunks, written
+from cloakframe.schema import free
 
 WINDOW, GRAM = 50, 8
 ROWS, CELLS = 2, 1 << 24
@@ -181,33 +182,36 @@ def covered(df: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, start, n): n windows from word `start` on that a document with a smaller doc_id has too."""
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     runs = written(repeated_runs(df, window))
-    classes = written(runs.groupBy("r1", "r2", "n").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.first("anchor").alias("anchor")))
+    run = ["r1", "r2", "n", "anchor"]
+    classes = written(runs.groupBy(*run).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")))
     # Equal runs: later documents lose the whole run.
-    again = classes.where("first_doc < last_doc").select("r1", "r2", "n", "first_doc")
-    whole = runs.select("doc_id", "key", "start", "n", "r1", "r2").join(again, ["r1", "r2", "n"]).where("doc_id > first_doc").select("doc_id", "key", "start", "n")
+    again = classes.where("first_doc < last_doc").select(*run, "first_doc")
+    whole = runs.select("doc_id", "key", "start", *run).join(again, run).where("doc_id > first_doc").select("doc_id", "key", "start", "n")
     # Different runs with one anchor: the windows of each run's first document, against those of the others.
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    firsts = classes.join(mixed, "anchor", "left_semi").select("r1", "r2", "n", F.col("first_doc").alias("doc_id"))
-    several = written(runs.join(firsts, ["r1", "r2", "n", "doc_id"], "left_semi").select("doc_id", "key", "start", "anchor", "windows"))
+    firsts = classes.join(mixed, "anchor", "left_semi").select(*run, F.col("first_doc").alias("doc_id"))
+    several = written(runs.join(firsts, [*run, "doc_id"], "left_semi").select("doc_id", "key", "start", "anchor", "windows"))
     single = written(repeated_windows(several))
     least = single.groupBy("h", "anchor").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("h", "anchor", "first_doc")
     parts = single.join(least, ["h", "anchor"]).where("doc_id > first_doc").select("doc_id", "key", "start", F.lit(1).alias("n"))
     return whole.union(parts)
 
 
-def remove_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`df` with its text cut, and columns n_words and n_removed of its words before.
+def remove_repeats(df: DataFrame, window: int = WINDOW, counts: tuple[str, str] | None = ("n_words", "n_removed")) -> DataFrame:
+    """`df` with its text cut, and two columns (none without `counts`) of its number of words before and of those removed.
 
     White space around what stays is kept as it is; a removed stretch goes with the white
-    space after it. Raises ValueError if a column n_words or n_removed is there already.
+    space after it. Raises ValueError if a column named in `counts` is there already.
     """
-    if {"n_words", "n_removed"} & {c.lower() for c in df.columns}:
-        raise ValueError("the table already has a column n_words or n_removed")
-    spans = covered(df, window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias("_spans"))  # no more than the document's windows
-    spans = spans.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), "_spans")
-    joined = df.join(spans, (df["doc_id"].cast("long") == spans["_doc"]) & (F.xxhash64(df["text"]) == spans["_key"]), "left").drop("_doc", "_key")
+    counted = list(counts or ())
+    if free(df, *counted) != counted:
+        raise ValueError(f"the table already has a column named in {counts}")
+    doc, key, stretches = free(df, "_doc", "_key", "_spans")
+    spans = covered(df, window).groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "n")).alias(stretches))  # no more than the document's windows
+    spans = spans.select(F.col("doc_id").alias(doc), F.col("key").alias(key), stretches)
+    joined = df.join(spans, (df["doc_id"].cast("long") == spans[doc]) & (F.xxhash64(df["text"]) == spans[key]), "left").drop(doc, key)
     at = df.columns.index("text")
-    names = [*df.columns, "n_words", "n_removed"]
+    names = [*df.columns, *counted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,9 +240,9 @@ def remove_repeats(df: DataFrame, window: int = WINDOW) -> DataFrame:
                 if changed:
                     texts = pa.array([changed.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
                 columns = [batch.column(k).slice(lo, hi - lo) if k != at else texts for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(size, pa.int64()), pa.array(removed)], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(size, pa.int64()), pa.array(removed)][: len(counted)]], names=names)
 
-    return joined.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return joined.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in counted)]))
 
 
 def digests(df: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -228,7 +228,7 @@ class Lexicon:
             if start < done or (start and (text[start - 1].isalnum() or text[start - 1] == "_")):
                 continue
             # The clause around the hit.
-            a = max(text.rfind(c, 0, start) for c in ".!?;:\n") + 1
+            a = max(text.rfind(c, max(done, 0), start) for c in ".!?;:\n") + 1
             stop = _CLAUSE_END.search(text, end + 1)
             b = stop.start() if stop else len(text)
             a = max(a, done)

@@ -142,3 +142,14 @@ def test_repeats_in_odd_tables(spark):
     got = sorted((r.key, r.text, r.n_words, r.n_removed) for r in substrings.remove_repeats(odd).collect())
     assert got == [("p", text, 60, 0), ("q", text, 60, 0), ("r", "a\nz", 62, 60), ("s", text, 60, 0), ("t", None, 0, 0)]
     assert substrings.remove_repeats(odd.limit(0)).collect() == []
+
+
+def test_repeats_keep_columns_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    own = {n: f"own {n}" for n in ("_doc", "_key", "_spans", "n_words", "n_removed", "anchor", "start")}
+    rows = spark.createDataFrame([{"doc_id": i, "text": t, **own} for i, t in enumerate([words, f"new {words} end", None, ""])])
+    out = {r.doc_id: r.asDict() for r in substrings.remove_repeats(rows, counts=None).collect()}
+    assert [out[i]["text"] for i in range(4)] == [words, "new end", None, ""]
+    assert all({k: r[k] for k in own} == own for r in out.values())
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(rows)
