@@ -39,7 +39,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without words covered by a window that an earlier document has."""
-    return _sized(substrings.remove_repeats(docs).select(*docs.columns))
+    return _sized(substrings.remove_repeats(docs, counts=None))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
