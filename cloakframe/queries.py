@@ -338,6 +338,20 @@ def merge_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("merged").cast("long").alias("entities"), total.alias("mentions"))
 
 
+@query(
+    _ENTITIES_SQL
+    + """SELECT doc_id, label, canonical, mentions + CASE WHEN canonical = 'thtion' THEN 1 ELSE 0 END AS mentions, CASE WHEN canonical = 'thtion' THEN 'THTION' ELSE first_surface END AS first_text
+FROM entities JOIN (SELECT doc_id, label, canonical, arg_min(surface, start) AS first_surface FROM hits GROUP BY ALL) USING (doc_id, label, canonical)"""
+)
+def link_known_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known mentions stand first in the entity of their text and label; those of another label, or of no entity here, appear nowhere."""
+    known = lambda text, label: F.struct(F.lit(label).alias("label"), F.lower(F.lit(text)).alias("canonical"), F.array(detection(F.lit(text), F.lit(label), F.lit(0), F.lit(len(text)), F.lit(1.0))).alias("detections"))
+    found = _words_pipeline().find(_docs(spark, sf_dir))
+    linked = held(link.link_known(F.col("entities"), F.array(known("THTION", "PERSON"), known("RETION", "LOCATION"), known("nowhere", "PERSON"))))
+    rows = found.withColumn("linked", linked).select("doc_id", F.explode("linked").alias("e"))
+    return rows.select("doc_id", "e.label", "e.canonical", F.size("e.detections").cast("long").alias("mentions"), F.col("e.detections")[0]["text"].alias("first_text"))
+
+
 def _leaders(measure: Callable[[Column, Column], Column], threshold: float) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = _words_pipeline().find(_docs(spark, sf_dir)).where(F.size("entities") > 0)
