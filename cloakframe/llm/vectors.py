@@ -15,10 +15,20 @@ def usable(column: str):
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def one_row_each(df: DataFrame, key: str, value: str) -> DataFrame:
-    """key, value with one row for each key: of repeated rows, the least value. Rows without a key go."""
-    df = df.select(F.col(key).cast("long").alias(key), F.col(value).cast("array<double>").alias(value)).where(F.col(key).isNotNull())
-    if not df.select(key).groupBy(key).count().where("count > 1").take(1):
+def repeated(df: DataFrame, key: str) -> bool:
+    """Do rows repeat a key?"""
+    return bool(df.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").take(1))
+
+
+def one_row_each(df: DataFrame, key: str, value: str, narrow: bool = False) -> DataFrame:
+    """key, value with one row for each key: of repeated rows, the least value. Rows without a key go.
+
+    Values are arrays of doubles; `narrow` leaves floats as they are.
+    """
+    kind = "array<float>" if narrow and df.schema[value].dataType.simpleString() == "array<float>" else "array<double>"
+    again = repeated(df, key)
+    df = df.select(F.col(key).cast("long").alias(key), F.col(value).cast(kind).alias(value)).where(F.col(key).isNotNull())
+    if not again:
         return df
     return df.groupBy(key).agg(F.min(value).alias(value))
 

@@ -69,6 +69,40 @@ def test_links_of_odd_tables(spark):
     assert lattice.near_duplicates(odd.limit(0)).collect() == []
 
 
+def shuffled(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_vectors_are_not_dealt_to_every_cell(spark):
+    r = np.random.default_rng(8)
+    centre = r.normal(size=64)
+    data = [(i, [float(x) for x in (centre + 0.02 * r.normal(size=64) if i < 1500 else r.normal(size=64))]) for i in range(3000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3).cache()
+    assert df.count() == 3000
+    before = shuffled(spark)
+    got = lattice.near_duplicates(df).collect()
+    assert shuffled(spark) - before < 4 * 3000 * 64 * 4
+    assert all(tuple(x) == ((x.vec_id, 1499, 0, x.vec_id == 0) if x.vec_id < 1500 else (x.vec_id, 0, x.vec_id, True)) for x in got)
+
+
+@pytest.mark.parametrize("block", [100, 230])
+def test_components_in_rounds_of_blocks(spark, table, monkeypatch, block):
+    data, df = table
+    want = sorted(tuple(r) for r in lattice.near_duplicates(df).collect())
+    monkeypatch.setattr(lattice, "BLOCK", block)
+    assert sorted(tuple(r) for r in lattice.near_duplicates(df).collect()) == want
+
+
+def test_smaller_cells_find_the_same(spark, table, monkeypatch):
+    data, df = table
+    want = {r.vec_id: tuple(r) for r in lattice.near_duplicates(df).collect()}
+    for most, tier in lattice.TIERS[1:3]:
+        monkeypatch.setattr(lattice, "TIERS", [(None, tier)])
+        got = {r.vec_id: tuple(r) for r in lattice.near_duplicates(df).collect()}
+        assert set(got) == set(want) and sum(got[i] == want[i] for i in want) >= 0.995 * len(want)
+
+
 def test_e8_points():
     y = np.random.default_rng(1).normal(size=(2000, 8)) * 2
     p = lattice.nearest_e8(y)
