@@ -91,6 +91,21 @@ def test_similarities(spark):
         assert (row.l == 1) == (row.a == row.b)
 
 
+def test_jaro_winkler_of_odd_texts(spark):
+    pairs = [("", ""), ("", "ab"), ("a\ue000b", "\ue000ab"), ("\ue000\ue001\ue002", "\ue002\ue001\ue000x"), ("\U0001f600bé", "bé\U0001f600"), ("aaaa", "aa"), ("martha", "marhta"), ("ab" * 40, "ba" * 30)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    for row in rows.select("a", "b", similarity.jaro_winkler(F.lower("a"), F.lower("b")).alias("s")).collect():
+        assert row.s == pytest.approx(plain_jaro_winkler(row.a, row.b))
+    nulls = spark.createDataFrame([(None, "a"), ("a", None), (None, None)], "a string, b string")
+    assert [r.s for r in nulls.select(similarity.jaro_winkler(F.col("a"), F.col("b")).alias("s")).collect()] == [0.0] * 3
+
+
+def test_pairs_of_one_split_are_dealt_to_all_cores(spark, sf):
+    assert spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions() == 1
+    assert queries.QUERIES["jaro_winkler_similarity"](spark, sf).rdd.getNumPartitions() >= 4
+    assert queries.QUERIES["levenshtein_similarity"](spark, sf).rdd.getNumPartitions() >= 4
+
+
 def spans(*rows):
     return [{"text": t, "label": label, "start": s, "end": e, "confidence": c} for t, label, s, e, c in rows]
 
