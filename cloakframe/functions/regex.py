@@ -147,31 +147,49 @@ def bounded_literal(fragment: str, ignore_case: bool = True) -> str:
     return f"(?{'dui' if ignore_case else 'd'})(?<![{WORD}]){quoted}(?![{WORD}])"
 
 
+def _before(sizes: Column) -> Column:
+    """Sum of the numbers before each one of an array, in sums of 16 and of 256.
+
+    A fold that lists sums copies its list for each one.
+    """
+    total = lambda numbers: F.aggregate(numbers, F.lit(0), lambda s, x: s + x)
+    part = lambda numbers, i: total(F.slice(numbers, i - i % 16 + 1, i % 16))
+    sums = lambda numbers: F.transform(F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(16)), lambda at: total(F.slice(numbers, at, F.lit(16))))
+    nth = lambda bases, i: F.get(bases, F.floor(i / 16).cast("int"))
+
+    def by_16(sizes: Column, tens: Column, more: Column) -> Column:
+        bases = F.transform(more, lambda _, g: total(F.slice(more, F.lit(1), g)))
+        return let(let(bases, lambda b: F.transform(tens, lambda _, t: nth(b, t) + part(tens, t))), lambda b: F.transform(sizes, lambda _, i: nth(b, i) + part(sizes, i)))
+
+    return let(sizes, lambda s: let(sums(s), lambda tens: let(sums(tens), lambda more: by_16(s, tens, more))))
+
+
 def find_all(text: Column, pattern: Column | str, must_hold: str = "") -> Column:
     """All matches from left to right, array<struct<text,start,end>>; null text has none.
 
     With `must_hold`, texts without that string aren't searched.
 
     Matches are marked in place and the pieces' lengths added up, which keeps everything
-    in one JVM expression; texts without a match stop at the test.
+    in one JVM expression; texts without a match stop at the test. Each match is read off its piece, and
+    positions come from `_before`, so that the work doesn't grow with the square of the matches.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     marked_already = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
     safe = F.when(marked_already, F.translate(text, OPEN + CLOSE, STAND_IN * 2)).otherwise(text)
 
-    def add(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(F.substring_index(piece, CLOSE, 1))
-        return F.struct(
-            (acc["pos"] + F.length(piece) - 1).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("start"), end.alias("end")))).alias("out"),
-        )
+    def listed(pieces: Column) -> Column:
+        def one(start: Column, piece: Column) -> Column:
+            match = F.substring_index(piece, CLOSE, 1)
+            return F.struct(match.alias("text"), start.alias("start"), (start + F.length(match)).alias("end"))
+
+        sizes = F.transform(pieces, lambda piece, i: F.length(piece) - F.when(i == 0, F.lit(0)).otherwise(F.lit(1)))
+        return let(_before(sizes), lambda starts: F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda piece, i: let(F.get(starts, i + 1), lambda start: one(start, piece))))
 
-    def fold(pieces: Column) -> Column:
-        start = F.struct(F.length(pieces[0]).alias("pos"), empty("array<struct<start:int,end:int>>").alias("out"))
-        return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces), F.lit(1))), start, add, lambda acc: acc["out"])
+    def original(spans: Column) -> Column:
+        again = F.transform(spans, lambda s: F.struct(F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), s["start"].alias("start"), s["end"].alias("end")))
+        return F.when(marked_already, again).otherwise(spans)
 
-    spans = let(F.split(F.regexp_replace(safe, p, F.lit(f"{OPEN}$0{CLOSE}")), OPEN), fold)
-    found = F.transform(spans, lambda s: F.struct(F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"), s["start"].alias("start"), s["end"].alias("end")))
+    found = let(let(F.split(F.regexp_replace(safe, p, F.lit(f"{OPEN}$0{CLOSE}")), OPEN), listed), original)
     some = F.coalesce(F.regexp_like(text, p), F.lit(False))
     if must_hold:
         some = F.contains(text, F.lit(must_hold)) & some

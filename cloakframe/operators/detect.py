@@ -263,7 +263,8 @@ def detect_words_joined(df: DataFrame, bag: DataFrame, key: str = "doc_id", text
     words = bag.select(F.lower("word").alias("_word"), "label").distinct()
     if words.count() <= largest_broadcast:
         words = F.broadcast(words)
-    tokens = df.select(key, F.explode(regex.find_all(F.col(text), f"[{regex.WORD}]+")).alias("m")).select(key, "m", F.lower("m.text").alias("_word"))
+    listed = df.select(key, held(regex.find_all(F.col(text), f"[{regex.WORD}]+")).alias("_tokens"))
+    tokens = listed.select(key, F.explode("_tokens").alias("m")).select(key, "m", F.lower("m.text").alias("_word"))
     found = tokens.join(words, "_word").select(key, detection(F.col("m.text"), F.col("label"), F.col("m.start"), F.col("m.end"), F.lit(1.0)).alias("d"))
     return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("d.start").alias("s"), F.col("d.label").alias("l"), "d"))), lambda x: x["d"]).alias("detections"))
 

@@ -100,6 +100,25 @@ def test_jaro_winkler_of_odd_texts(spark):
     assert [r.s for r in nulls.select(similarity.jaro_winkler(F.col("a"), F.col("b")).alias("s")).collect()] == [0.0] * 3
 
 
+def test_matches_of_long_texts(spark):
+    import time
+
+    def took(texts):
+        rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").coalesce(1).select("text", regex.find_all(F.col("text"), r"(?d)[\p{L}\p{N}_]+").alias("m"))
+        began = time.time()
+        found = rows.collect()
+        for row in found:
+            assert [(m.text, m.start, m.end) for m in row.m] == [(m[0], m.start(), m.end()) for m in re.finditer(r"\w+", row.text)]
+        return time.time() - began
+
+    def words(n):
+        return " ".join(("é" * (i % 3) + f"w{i}" if i % 50 else "\ue000b \U0001f600") if i < 300 else f"w{i}," for i in range(n))
+
+    took([words(n) for n in (1, 2, 15, 16, 17, 255, 256, 257, 300)])
+    short = took([f"w{i}, é{i} " * 1000 for i in range(12)])
+    assert took(["w1, é1 " * 12000]) < 5 * short
+
+
 def test_pairs_of_one_split_are_dealt_to_all_cores(spark, sf):
     assert spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions() == 1
     assert queries.QUERIES["jaro_winkler_similarity"](spark, sf).rdd.getNumPartitions() >= 4
